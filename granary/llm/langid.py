@@ -1,6 +1,6 @@
 """Language identification by compression: the language whose text helps most to compress a document is its own.
 
-For each language a zstandard raw-content dictionary is cut from sampled training texts. A text is compressed with each
+Case is folded. For each language a zstandard raw-content dictionary is cut from sampled training texts. A text is compressed with each
 dictionary, quickly at first and again with more effort where the lead is narrow, and the smallest result wins; a lead
 that is still small marks the answer as rejected.
 
@@ -38,7 +38,7 @@ def learn(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, dic
     for r in sorted(drawn.limit(4 * sample_docs * len(counts)).collect(), key=lambda r: (r["draw"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     # Each text gives an equal share of the dictionary, so that a long one does not fill it alone.
-    return {lang: b"\n".join(t.encode()[: max(1024, dictionary_bytes // len(ts))] for t in ts)[:dictionary_bytes] for lang, ts in sorted(texts.items())}
+    return {lang: b"\n".join(t.lower().encode()[: max(1024, dictionary_bytes // len(ts))] for t in ts)[:dictionary_bytes] for lang, ts in sorted(texts.items())}
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], levels: tuple[int, int] = (1, 12), narrow: float = 0.06, margin: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], levels: tuple[int,
                     scores.append(0.0)
                     rejected.append(True)
                     continue
-                data = text.encode()
+                data = text.lower().encode()
                 for held in packers:
                     sizes = sorted((len(p.compress(data)), lang) for lang, p in held)
                     best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else 2 * sizes[0][0]
