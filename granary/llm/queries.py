@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, packing, simhash, tokencount, warc
+from . import chat, langid, media, mixing, packing, quality, secrets, simhash, tokencount, warc
 
 #: Fixed values of the contracts.
 SEQUENCE_TOKENS = 4096
@@ -25,6 +25,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality rules over all documents."""
+    found = quality.judge(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    listed = secrets.as_text(F.filter("found", lambda s: s["kind"].isin(base)))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in base], F.sha2(listed, 256).alias("base_sha256"), secrets.as_text(F.col("found")).alias("spans"))
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, rendered and read back."""
+    ok = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", ok), (-7, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    read = chat.read_back(chat.format_chats(chat.message_log(rows)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling probabilities of all documents, and the sample."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), "probability", "sampled")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit packing of all documents into sequences of at most 4096 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID, packing.Capacities(SEQUENCE_TOKENS, SEQUENCE_TOKENS, SEQUENCE_TOKENS**2))
@@ -63,6 +94,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op6_source_mixing": op6_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_warc": op5_warc,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
