@@ -14,6 +14,11 @@ from pyspark.sql.window import Window
 from ..functions.hashing import hamming
 
 
+def _ball(chunk: int, value: Column, flips: Sequence[int]) -> Column:
+    """A chunk's value with each of the flips, as (chunk, value)."""
+    return F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda f: F.struct(F.lit(chunk).alias("chunk"), value.bitwiseXOR(f).alias("value")))
+
+
 def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int | None = None) -> DataFrame:
     """(a, b, dist) with a < b of 64-bit codes at most so far apart, as an equi-join.
 
@@ -29,7 +34,7 @@ def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int
         parts.append(F.struct(F.lit(k).alias("chunk"), value.alias("value")))
         flips = sorted(sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(size), r))
         flips = [f - (1 << 64) if f >> 63 else f for f in flips]
-        balls.append(F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda f, k=k, value=value: F.struct(F.lit(k).alias("chunk"), value.bitwiseXOR(f).alias("value"))))
+        balls.append(_ball(k, value, flips))
         at += size
     known = items.filter(F.col(code).isNotNull())
     left = known.select(F.col(item).alias("a"), F.col(code).alias("code_a"), F.explode(F.array(*parts)).alias("p")).select("a", "code_a", "p.chunk", "p.value")

@@ -104,6 +104,6 @@ met AS (SELECT *, (ix * iy) / (ad + ag - ix * iy) AS iou FROM (SELECT d.image, d
 
 
 def matched_sql(overlaps: str, pool: str = "met") -> str:
-    return f"""overlaps AS (SELECT unnest([{overlaps}]::double[]) AS overlap),
-claims AS (SELECT o.overlap, m.*, row_number() OVER (PARTITION BY o.overlap, image, det ORDER BY iou DESC, gt) AS c FROM {pool} m JOIN overlaps o ON m.iou >= o.overlap),
+    return f"""cuts AS (SELECT unnest([{overlaps}]::double[]) AS overlap),
+claims AS (SELECT o.overlap, m.*, row_number() OVER (PARTITION BY o.overlap, image, det ORDER BY iou DESC, gt) AS c FROM {pool} m JOIN cuts o ON m.iou >= o.overlap),
 matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY overlap, image, gt ORDER BY conf DESC, det) AS t FROM claims WHERE c = 1) WHERE t = 1)"""
