@@ -84,7 +84,7 @@ def boxes(spark: SparkSession, folder: str, predicted: bool) -> DataFrame:
     y = (F.col("l_orderkey") * 13 % 200 + F.col("l_partkey") % 10).cast("double")
     w, h = 24.0 + 3 * (F.col("l_orderkey") % 30) + F.col("l_quantity") % 8, 30.0 + 2 * F.col("l_linenumber")
     box = F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2")).alias("box")
-    key = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("det" if predicted else "gt")
+    key = (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("det" if predicted else "gt")
     image, cls = F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("cls")
     if predicted:
         conf = ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_orderkey")) % 1000 / 1000.0).alias("conf")
@@ -92,7 +92,7 @@ def boxes(spark: SparkSession, folder: str, predicted: bool) -> DataFrame:
     return lines.filter("l_linenumber % 2 = 1").select(image, key, cls, box)
 
 
-BOXES = """lines AS (SELECT l_orderkey AS image, l_orderkey * 10 + l_linenumber AS id, l_linenumber % 2 = 0 AS predicted, l_returnflag AS cls,
+BOXES = """lines AS (SELECT l_orderkey AS image, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS id, l_linenumber % 2 = 0 AS predicted, l_returnflag AS cls,
   ((l_partkey * 31 + l_suppkey * 17 + l_orderkey) % 1000)::double / 1000.0::double AS conf,
   (l_orderkey * 7 % 200 + l_suppkey % 12)::double AS x1, (l_orderkey * 13 % 200 + l_partkey % 10)::double AS y1,
   24.0::double + 3 * (l_orderkey % 30) + l_quantity % 8 AS w, 30.0::double + 2 * l_linenumber AS h FROM lineitem),
