@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 def by_gap(events: DataFrame, camera: str, time: str, item: str, minutes: int) -> DataFrame:
     """events with session: a new one begins where the gap is longer than so many minutes; an equal gap stays."""
     w = Window.partitionBy(camera).orderBy(time, item)
-    gap = F.unix_micros(time) - F.unix_micros(F.lag(time).over(w))
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    gap = micros - F.lag(micros).over(w)
     begun = F.when(gap > minutes * 60 * 1_000_000, 1).otherwise(0)
     return events.withColumn("_b", begun).withColumn("session", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
