@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, media, mixing, packing, quality, secrets, simhash, tokencount, warc
+from .oracle import ORACLE_SQL as ORACLE_SQL
 
 #: Fixed values of the contracts.
 SEQUENCE_TOKENS = 4096
@@ -105,5 +106,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,43 @@
+"""Each stage of the pipeline against a brute-force version on the smallest tables."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import corpus_pipeline as cp
+from granary.llm import simhash
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+
+
+def test_stages_follow_each_other(spark, tmp_path):
+    docs, kept = spark.read.parquet(f"{FOLDER}/documents.parquet"), {}
+    for name, stage in cp.STAGES:
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.toPandas()
+        if name != cp.STAGES[-1][0]:
+            assert list(docs.columns) == list(cp.COLUMNS)
+    first, second, third, fourth, last = (kept[n] for n, _ in cp.STAGES)
+    codes = {i: simhash.fingerprint(t.encode(), 3, 42) for i, t in zip(first["doc_id"], first["text"], strict=True)}
+    left = set()
+    for i in sorted(codes):
+        # A document stays unless one with a smaller id can be reached.
+        seen, todo = {i}, [i]
+        while todo:
+            x = todo.pop()
+            new = {j for j in codes if j not in seen and (codes[x] ^ codes[j]).bit_count() <= 3}
+            seen |= new
+            todo += new
+        if min(seen) == i:
+            left.add(i)
+    assert set(second["doc_id"]) == left and len(second) == len(left)
+    assert set(third["doc_id"]) == left
+    assert not third["text"].str.contains(r"AKIA[A-Z0-9]{16}").any()
+    assert set(fourth["doc_id"]) <= left and len(fourth) > 0.7 * len(third)
+    assert set(last["doc_id"]) == set(fourth["doc_id"])
+    assert last.groupby("sequence_id")["length"].sum().max() <= 4096
+    assert sorted(map(tuple, cp.run(spark, FOLDER).select("doc_id", "piece", "length").collect())) == sorted(map(tuple, last[["doc_id", "piece", "length"]].to_numpy()))
