@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import struct
 from collections.abc import Callable, Iterator, Sequence
@@ -49,11 +50,26 @@ def line_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*", content: bool = False) -> DataFrame:
-    """(path, length, modified, split, stem[, content]) of files under a folder, by glob."""
+def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified, split, stem) of files under a folder whose names match a glob, empty files too.
+
+    The folder is listed by the driver, as any scan does; Spark's own file sources leave empty files out.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        if fnmatch.fnmatchcase(f.getPath().getName(), pattern):
+            rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    listed = spark.createDataFrame(rows, "path string, length bigint, ms bigint")
+    return listed.select("path", "length", F.timestamp_millis("ms").alias("modified"), F.regexp_extract("path", SPLIT_OF_PATH, 1).alias("split"), F.regexp_extract("path", STEM_OF_PATH, 1).alias("stem"))
+
+
+def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, content, stem) of the files that are not empty."""
     read = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    out = read.select("path", "length", F.col("modificationTime").alias("modified"), F.regexp_extract("path", SPLIT_OF_PATH, 1).alias("split"), F.regexp_extract("path", STEM_OF_PATH, 1).alias("stem"), "content")
-    return out if content else out.drop("content")
+    return read.select("path", "length", "content", F.regexp_extract("path", STEM_OF_PATH, 1).alias("stem"))
 
 
 def folder_size(listed: DataFrame, excluded: str | None = None) -> DataFrame:
