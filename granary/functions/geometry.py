@@ -150,3 +150,18 @@ def ransac(src: np.ndarray, dst: np.ndarray, reach: float = 5.0, rounds: int = 5
             good = np.linalg.norm(project(h, src) - dst, axis=1) < reach
             best = good if good.sum() > best.sum() else best
     return (fit_homography(src[best], dst[best]), best) if best.sum() >= 4 else (None, none)
+
+
+def best_variant(src: list[np.ndarray], dst: np.ndarray, descriptors: list[np.ndarray], target: np.ndarray, reach: float = 4.0, seed: int = 42) -> tuple[int, int, np.ndarray]:
+    """(variant, inliers, their points in the target) of the variant of an image that fits a target best; ties to the first.
+
+    src and descriptors hold the key points of each variant, dst and target those of the other image.
+    """
+    best = (0, 0, np.empty((0, 2)))
+    for k, (points, own) in enumerate(zip(src, descriptors, strict=True)):
+        m = ratio_matches(own, target)
+        if len(m) >= 4:
+            _, good = ransac(points[m[:, 0]], dst[m[:, 1]], reach, seed=seed)
+            if good.sum() > best[1]:
+                best = (k, int(good.sum()), dst[m[good, 1]])
+    return best

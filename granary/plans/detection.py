@@ -226,3 +226,19 @@ def smallest_missed(spark, sf_dir):
 def crop_rectangles(spark, sf_dir):
     gt = fx.boxes(spark, sf_dir, False)
     return gt.select("gt", *geometry.crop_rectangle(F.col("box.x1"), F.col("box.y1"), F.col("box.x2"), F.col("box.y2"), F.lit(200.0), F.lit(200.0)))
+
+
+def filtered_sql() -> str:
+    return AP.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 7 <> 0)")
+
+
+@query(f"""SELECT scope, round(map50, 6) AS map50, round(map50_95, 6) AS map50_95 FROM (SELECT 'full' AS scope, * FROM ({AP} SELECT avg(ap) FILTER (overlap = 0.5) AS map50, avg(ap) AS map50_95 FROM ap)
+UNION ALL SELECT 'filtered', * FROM ({filtered_sql()} SELECT avg(ap) FILTER (overlap = 0.5), avg(ap) FROM ap))""")
+def full_vs_filtered(spark, sf_dir):
+    det, gt = sides(spark, sf_dir)
+    kept = F.col("image") % 7 != 0
+    out = None
+    for scope, d, g in (("full", det, gt), ("filtered", det.filter(kept), gt.filter(kept))):
+        row = ops.map_summary(ops.ap_by_class(d, g)).select(F.lit(scope).alias("scope"), F.round("map50", 6).alias("map50"), F.round("map50_95", 6).alias("map50_95"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -265,3 +265,15 @@ def family_two_phase(spark, sf_dir):
 @query(f"WITH {fx.PAIRS} SELECT b, a, dist FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY dist, a) AS r FROM pairs) WHERE r = 1")
 def best_parent(spark, sf_dir):
     return ops.best_per(fx.pairs(spark, sf_dir), "b", F.col("dist"), F.col("a")).select("b", "a", "dist")
+
+
+@query(f"WITH {KNN} SELECT count(DISTINCT (least(query, candidate), greatest(query, candidate))) AS n FROM knn WHERE c >= 0.35")
+def distinct_pairs_above(spark, sf_dir):
+    near = knn(spark, sf_dir).filter("cosine >= 0.35")
+    return near.agg(F.count_distinct(F.struct(F.least("query", "candidate"), F.greatest("query", "candidate"))).alias("n"))
+
+
+@query(f"{MEMBERS} SELECT count(*) AS items, count(DISTINCT component) AS components, count(*) - count(DISTINCT component) AS effective FROM members")
+def effective_edges(spark, sf_dir):
+    counts = members(spark, sf_dir).agg(F.count("*").alias("items"), F.count_distinct("component").alias("components"))
+    return counts.withColumn("effective", graph.effective_edges(F.col("items"), F.col("components")))

@@ -181,3 +181,22 @@ def best_row_per_key(spark, sf_dir):
     return out.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
 
 
+
+
+@query()
+def session_group_split(spark, sf_dir):
+    """Sessions dealt to splits, by decreasing size in every third round and in random orders else."""
+    found = ses.by_day(table(spark, sf_dir, "events"), "event_type", "ts").withColumn("grp", F.concat_ws("/", "event_type", F.col("session").cast("string")))
+    return ops.search_groups(ops.group_stats(found, "grp", {"items": F.lit(1)}), "grp", ["items"], rounds=1000, by_size=True)
+
+
+@query()
+def block_choice(spark, sf_dir):
+    """The largest block size whose groups can be split evenly and have no giant."""
+    items, attempts = fx.items(spark, sf_dir), {}
+    for size in (400, 100, 20):
+        grouped = items.withColumn("grp", F.concat_ws("/", F.lit("b"), F.floor(F.col("number") / size).cast("string")))
+        best = ops.search_groups(ops.group_stats(grouped, "grp", measures()), "grp", list(measures()), rounds=200)
+        counts = grouped.groupBy("grp").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("largest_share"))
+        attempts[size] = best.agg(F.max("deviation").alias("deviation")).join(F.broadcast(counts))
+    return spark.createDataFrame([(ops.choose_block(spark, attempts),)], "block int")

@@ -212,3 +212,39 @@ def with_kernel(content: DataFrame, kernel: Callable, names: Sequence[str], sche
             yield pd.concat([f[["path"]].reset_index(drop=True), rows.where(rows.notna(), None)], axis=1)
 
     return content.mapInPandas(run, schema)
+
+
+#: The tags of a camera's metadata that are read, and where the two further tables stand.
+CAMERA_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "time", 0x9003: "time_original"}
+DETAIL_TABLE, PLACE_TABLE = 0x8769, 0x8825
+
+
+def camera_metadata(data: bytes) -> dict[str, object]:
+    """make, model, time, time_original and has_gps from a JPEG's metadata; empty where there is none or it is damaged."""
+    at = data.find(b"Exif\0\0") + 6
+    if data[:2] != b"\xff\xd8" or at < 6 or data[at : at + 2] not in (b"II", b"MM"):
+        return {}
+    order, base, found = "<" if data[at : at + 2] == b"II" else ">", data[at:], {"has_gps": False}
+    todo = [struct.unpack_from(order + "I", base, 4)[0]] if len(base) >= 8 else []
+    for begin in todo:
+        if len(todo) > 4 or begin + 2 > len(base):
+            continue
+        for k in range(struct.unpack_from(order + "H", base, begin)[0]):
+            entry = begin + 2 + 12 * k
+            if entry + 12 > len(base):
+                break
+            tag, kind, count, value = struct.unpack_from(order + "HHII", base, entry)
+            if tag == DETAIL_TABLE:
+                todo.append(value)
+            elif tag == PLACE_TABLE:
+                found["has_gps"] = True
+            elif tag in CAMERA_TAGS and kind == 2:
+                raw = base[entry + 8 : entry + 8 + count] if count <= 4 else base[value : value + count]
+                found[CAMERA_TAGS[tag]] = raw.split(b"\0")[0].decode("ascii", "replace").strip()
+    return found
+
+
+def camera_files(content: DataFrame) -> DataFrame:
+    """(path, make, model, time, time_original, has_gps) of image files."""
+    names = ("make", "model", "time", "time_original", "has_gps")
+    return with_kernel(content.select("path", "content"), lambda data: [camera_metadata(bytes(data)).get(n) for n in names], names, "path string, make string, model string, time string, time_original string, has_gps boolean")

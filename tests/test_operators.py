@@ -253,3 +253,25 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.image_size(png) == (7, 9) and readers.image_size(jpeg) == (6, 5) and readers.image_size(b"no") is None
     sized = readers.image_sizes(spark.createDataFrame([("p", png), ("q", b"no")], "path string, content binary"))
     assert [tuple(r) for r in sized.orderBy("path").collect()] == [("p", 7, 9), ("q", None, None)]
+
+
+def test_camera_metadata(spark):
+    import struct
+
+    text = b"2020:01:02 03:04:05\0"
+    ifd = struct.pack("<H", 3) + struct.pack("<HHII", 0x010F, 2, 4, int.from_bytes(b"abc\0", "little")) + struct.pack("<HHII", 0x0132, 2, 20, 60) + struct.pack("<HHII", 0x8825, 4, 1, 0) + struct.pack("<I", 0)
+    body = (b"II*\0" + struct.pack("<I", 8) + ifd).ljust(60, b"\0") + text
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 8) + b"Exif\0\0" + body
+    assert readers.camera_metadata(jpeg) == {"has_gps": True, "make": "abc", "time": "2020:01:02 03:04:05"}
+    assert readers.camera_metadata(jpeg[:30])["has_gps"] is False and readers.camera_metadata(b"x") == {}
+    got = readers.camera_files(spark.createDataFrame([("p", jpeg), ("q", b"")], "path string, content binary")).orderBy("path").collect()
+    assert got[0]["make"] == "abc" and got[0]["has_gps"] and got[1]["make"] is None
+
+
+def test_best_of_variants():
+    rng = np.random.default_rng(8)
+    points, target = rng.uniform(0, 100, (30, 2)), rng.normal(size=(30, 16))
+    moved = points @ np.array([[0.0, 1.0], [-1.0, 0.0]]) + 5
+    k, n, inliers = geometry.best_variant([rng.uniform(0, 100, (30, 2)), points], moved, [rng.normal(size=(30, 16)), target + rng.normal(size=(30, 16)) * 0.01], target)
+    assert (k, n) == (1, 30) and len(inliers) == 30
+    assert geometry.hull_coverage(inliers, 0, 1e4) == geometry.hull_coverage(inliers, 50, 1e4)
