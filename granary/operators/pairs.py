@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hamming
+from ..functions.storage import ship
 
 
 def _ball(chunk: int, value: Column, flips: Sequence[int]) -> Column:
@@ -69,6 +70,7 @@ def nearest(items: DataFrame, item: str, vector: str, group: str, k: int = 5, bl
     Items are dealt to blocks of about block rows and every pair of blocks is one matrix product, so a task holds two
     blocks; the best of all blocks are ranked at the end.
     """
+    ship(items.sparkSession)
     n = n or items.count()
     blocks = max(1, -(-n // block))
     base = items.select(F.col(item).alias("item"), F.col(vector).alias("vector"), F.col(group).alias("grp"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("own"))
@@ -164,6 +166,8 @@ def dispositions(pairs: DataFrame, eligible: DataFrame, item: str) -> DataFrame:
 def verify_pairs(pairs: DataFrame, kernel, schema: str) -> DataFrame:  # noqa: ANN001
     """Rows of a kernel over pairs: any function from a frame of pairs to a frame, such as a geometric check."""
 
+    ship(pairs.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from map(kernel, frames)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import draw
+from ..functions.storage import ship
 
 SPLITS = ("train", "val", "test")
 #: Groups that a search may have; each of its tasks holds the table of groups.
@@ -69,6 +70,7 @@ def search_groups(stats: DataFrame, group: str, measures: Sequence[str], rounds:
     by_size: every third round takes groups by decreasing size. The table of groups is checked against MOST_GROUPS
     before it is handed to the tasks; rounds run apart from each other and only their bests come together.
     """
+    ship(stats.sparkSession)
     table = stats.orderBy(group).limit(MOST_GROUPS + 1).toPandas()
     if len(table) > MOST_GROUPS:
         raise ValueError(f"over {MOST_GROUPS} groups")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import ship
+
 STEM_OF_PATH = r"([^/]+)\.[^./]+$"
 SPLIT_OF_PATH = r"/(train|val|test)/"
 
@@ -206,6 +208,8 @@ def image_sizes(listed: DataFrame) -> DataFrame:
 def with_kernel(content: DataFrame, kernel: Callable, names: Sequence[str], schema: str) -> DataFrame:
     """(path, names..) from a kernel over the content column; the way to plug in decoders and metadata readers."""
 
+    ship(content.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = pd.DataFrame([kernel(c) for c in f["content"]], columns=list(names)).astype(object)
