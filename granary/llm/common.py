@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import ship
+
 #: Arrow batches hold at most this many rows, so that one batch of long texts stays small.
 ARROW_ROWS = 256
 #: A join broadcasts keys that more than 1/HOT_KEYS of the rows carry; there are at most HOT_KEYS of them.
@@ -51,7 +53,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows for operators that hand whole texts to Python."""
+    """Make ready for operators that hand whole texts to Python: ship the package and bound Arrow batches by rows."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
