@@ -185,7 +185,8 @@ def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, replicates: int
     weighted windows give the same average precision. Clusters of gt are those that are drawn.
     """
     weights = replicate_weights(gt, cluster, replicates, seed)
-    rows = scored.join(weights, cluster).select("replicate", "cls", "det", "conf", "tp", "weight")
+    # There are replicates times clusters of weights, which no estimate sees, so they are not to be broadcast.
+    rows = scored.join(weights.hint("merge"), cluster).select("replicate", "cls", "det", "conf", "tp", "weight")
     truths = gt.groupBy("cls", cluster).agg(F.count("*").alias("n")).join(weights, cluster).groupBy("replicate", "cls").agg(F.sum(F.col("n") * F.col("weight")).alias("n_gt"))
     every = gt.select("cls").distinct().join(F.broadcast(gt.sparkSession.range(replicates).select(F.col("id").alias("replicate"))))
     full = every.join(truths, ["replicate", "cls"], "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))

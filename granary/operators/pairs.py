@@ -40,7 +40,8 @@ def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int
     known = items.filter(F.col(code).isNotNull())
     left = known.select(F.col(item).alias("a"), F.col(code).alias("code_a"), F.explode(F.array(*parts)).alias("p")).select("a", "code_a", "p.chunk", "p.value")
     right = known.select(F.col(item).alias("b"), F.col(code).alias("code_b"), F.explode(F.concat(*balls)).alias("p")).select("b", "code_b", "p.chunk", "p.value")
-    met = left.join(right, ["chunk", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("code_a"), F.col("code_b")) <= most))
+    # Sizes are estimated before rows are exploded, so the balls could be taken for small: the hint forbids a broadcast.
+    met = left.join(right.hint("merge"), ["chunk", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("code_a"), F.col("code_b")) <= most))
     earlier, at = F.lit(False), 0
     for k, size in enumerate(sizes):
         mask = F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint")
