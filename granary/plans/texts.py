@@ -107,7 +107,7 @@ def lone_numbers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"))
 
 
-@query()
+@query("WITH s AS (SELECT p_partkey, greatest(10 - p_size % 12, 0) * greatest(10 - p_partkey % 12, 0) / 100.0::double AS v FROM part) SELECT p_partkey, round(v, 6) AS over_a, round(v, 6) AS over_b FROM s")
 def polygon_overlap(spark, sf_dir):
     """Shares of two quadrilaterals derived from a part's numbers that each covers of the other."""
 
@@ -119,7 +119,8 @@ def polygon_overlap(spark, sf_dir):
             out.append(geometry.containment(a, b))
         return pd.DataFrame({"p_partkey": f["p_partkey"], "over_a": [x[0] for x in out], "over_b": [x[1] for x in out]})
 
-    return pair_ops.verify_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_size"), kernel, "p_partkey bigint, over_a double, over_b double")
+    found = pair_ops.verify_pairs(table(spark, sf_dir, "part").select("p_partkey", "p_size"), kernel, "p_partkey bigint, over_a double, over_b double")
+    return found.withColumns({c: F.round(c, 6) for c in ("over_a", "over_b")})
 
 
 @query()
