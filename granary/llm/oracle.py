@@ -54,4 +54,8 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = '{chat.LOSS_ROLE}'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{chat.LOSS_ROLE}'), '')) AS loss_sha256,
   sum(length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.OPEN) + len(chat.CLOSE) + len(chat.END)})::bigint AS formatted_chars FROM m GROUP BY 1"""
 
-ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_secret_scan": SECRETS, "op3_chat_formatting": CHATS}
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, {10 * b + 1}, 10))::bigint >> {35 - 5 * j}) & 31)::int + 1, 1)" for b in range(4) for j in range(8))
+ARCHIVES = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), m AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS keeper FROM p)
+SELECT page_id, strlen(t)::bigint AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM m"""
+
+ORACLE_SQL = {"op1_quality_rules": QUALITY, "op2_secret_scan": SECRETS, "op3_chat_formatting": CHATS, "op5_warc": ARCHIVES}
