@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder made here."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="granary-"))
-    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    """spark.checkpoint.dir; where it is unset, as in tests, a folder made here, which the context keeps."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="granary-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
