@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.storage import ship
+from ..functions.storage import shared_folder, ship
 
 #: Arrow batches hold at most this many rows, so that one batch of long texts stays small.
 ARROW_ROWS = 256
@@ -17,20 +16,9 @@ ARROW_ROWS = 256
 HOT_KEYS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/granary-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/granary-{label}-{uuid.uuid4().hex}"
     atexit.register(remove_path, spark, path)
     return path
 
