@@ -95,7 +95,8 @@ def links(vertices: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def _verified(ball: DataFrame, own: DataFrame) -> DataFrame:
     other = own.select(F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("key").alias("key_b"))
-    met = ball.select("fp", F.col("node").alias("a"), "key").join(other, (F.col("key") == F.col("key_b")) & (F.col("fp") < F.col("fp_b")) & (_differ("fp", "fp_b") <= RADIUS))
+    # Sizes are estimated before rows are exploded, so a side could be taken for small and broadcast: the hint forbids it.
+    met = ball.select("fp", F.col("node").alias("a"), "key").join(other.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("fp") < F.col("fp_b")) & (_differ("fp", "fp_b") <= RADIUS))
     return met.select("a", "b")
 
 
@@ -121,7 +122,7 @@ def _star(edges: DataFrame, by: str) -> DataFrame:
         seen, spread = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")), "lo"
     least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("_s", F.explode(F.array(*[F.lit(k) for k in range(_SALTS)])))
     salted = edges.withColumn("_t", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
-    return salted.join(least, (F.col(by) == F.col("u")) & (F.col("_t") == F.col("_s"))).select("hi", "lo", "m")
+    return salted.join(least.hint("merge"), (F.col(by) == F.col("u")) & (F.col("_t") == F.col("_s"))).select("hi", "lo", "m")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
