@@ -55,7 +55,8 @@ def precision_curve(scored: DataFrame, truths: DataFrame, keys: Sequence[str]) -
     """
     order = [F.desc("conf"), F.col("det")]
     run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rest = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # The rows from here on, read from the other end: a frame that begins with the first row is kept up row by row.
+    rest = Window.partitionBy(*keys).orderBy(F.asc("conf"), F.desc("det")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = scored.withColumns({"cum_tp": F.sum(F.col("tp") * F.col("weight")).over(run), "cum_all": F.sum("weight").over(run)})
     ranked = ranked.withColumn("precision", F.try_divide(F.col("cum_tp").cast("double"), F.col("cum_all").cast("double")))
     ranked = ranked.withColumn("envelope", F.max("precision").over(rest))
