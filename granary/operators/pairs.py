@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hamming
-from ..functions.storage import ship
+from ..functions.storage import ship, stored
 
 
 def _ball(chunk: int, value: Column, flips: Sequence[int]) -> Column:
@@ -51,6 +51,43 @@ def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int
     return met.filter(~earlier).select("a", "b", hamming(F.col("code_a"), F.col("code_b")).alias("dist"))
 
 
+def dihedral_pairs(items: DataFrame, item: str, variants: str, most: int, block: int = 4096) -> DataFrame:
+    """(a, b, dist) with a < b of all items whose variant hashes are at most so far apart.
+
+    dist is the least distance of the first variant of one to any of the other, both ways. At radii where balls around
+    chunks cover most of their values a join on them meets more pairs than there are, so items are dealt to blocks of
+    about block rows and every unordered pair of blocks is compared whole. Null variants never match.
+    """
+    ship(items.sparkSession)
+    known = stored(items.filter(F.col(variants).isNotNull()).select(F.col(item).alias("item"), F.col(variants).alias("h")), "variants")
+    blocks = max(1, -(-known.count() // block))
+    base = known.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    left = base.select("item", "h", F.col("own").alias("q"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("c"))
+    # The right side has names of its own: of columns that both sides share the planner drops those of one side.
+    right = base.select(F.col("item").alias("other"), F.col("h").alias("other_h"), F.col("own").alias("c"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("q"))
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "dist": []}).astype({"a": "int64", "b": "int64", "dist": "int32"})]
+        if x.empty or y.empty:
+            return out[0]
+        hx, hy = (np.stack(h.to_list()).astype(np.int64).view(np.uint64) for h in (x["h"], y["other_h"]))
+        ix, iy = x["item"].to_numpy(), y["other"].to_numpy()
+        for at in range(0, len(x), 256):
+            part = hx[at : at + 256]
+            least = np.full((len(part), len(iy)), 65, np.uint8)
+            for k in range(hy.shape[1]):
+                np.minimum(least, np.bitwise_count(part[:, 0, None] ^ hy[None, :, k]), out=least)
+                np.minimum(least, np.bitwise_count(part[:, k, None] ^ hy[None, :, 0]), out=least)
+            i, j = np.nonzero(least <= most)
+            one, two = ix[at : at + 256][i], iy[j]
+            keep = one < two if key[0] == key[1] else one != two
+            one, two = one[keep], two[keep]
+            out.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "dist": least[i, j][keep].astype("int32")}))
+        return pd.concat(out)
+
+    return left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(compare, "a bigint, b bigint, dist int")
+
+
 def across(pairs: DataFrame, items: DataFrame, item: str, split: str) -> DataFrame:
     """pairs with split_a, split_b and cross_split."""
     side = lambda end: items.select(F.col(item).alias(end), F.col(split).alias(f"split_{end}"))

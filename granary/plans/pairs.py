@@ -54,6 +54,15 @@ def dihedral_pairs(spark, sf_dir):
     return a.join(b, F.col("a") < F.col("b")).withColumn("dist", hashing.min_dihedral(F.col("ha"), F.col("hb"))).filter("dist <= 20").select("a", "b", "dist")
 
 
+@query(f"""WITH {fx.CODES}, v AS (SELECT vec_id, [xor(code, k * 72340172838076673) FOR k IN range(8)] AS h FROM codes),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, least(list_min([bit_count(xor(a.h[1], x)) FOR x IN b.h]), list_min([bit_count(xor(b.h[1], x)) FOR x IN a.h]))::int AS dist FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT a, b, dist FROM d WHERE dist <= 20""")
+def dihedral_pairs_all(spark, sf_dir):
+    """All vectors; the SQL of dihedral_pairs compares a tenth of them."""
+    variants = F.transform(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>"), lambda k: F.col("code").bitwiseXOR(k * F.lit(72340172838076673)))
+    return ops.dihedral_pairs(fx.codes(spark, sf_dir).select("vec_id", variants.alias("h")), "vec_id", "h", 20)
+
+
 KNN = """v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings),
 sims AS (SELECT a.vec_id AS query, b.vec_id AS candidate, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.label <> b.label),
 knn AS (SELECT query, candidate, c, row_number() OVER (PARTITION BY query ORDER BY c DESC, candidate) AS rank FROM sims QUALIFY rank <= 5)"""
