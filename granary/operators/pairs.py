@@ -178,19 +178,27 @@ def best_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def parents_two_phase(crops: DataFrame, others: DataFrame, family: str, score: Column, least: float) -> DataFrame:
+def parents_two_phase(crops: DataFrame, others: DataFrame, family: str, score: Column, least: float, near: tuple[str, int] | None = None) -> DataFrame:
     """Best parent of each crop: within its family first, and among all others where the family has none.
 
-    crops and others have item, family and the columns score needs (suffix _c and _o). The second phase is a theta join
-    of the leftovers, which a caller keeps few.
+    crops and others have item, family and the columns score needs (suffix _c and _o). A score is one of these columns,
+    not of the items, and ties go to the lowest item: so only the lowest of the others with equal columns can be a
+    parent, and crops with equal columns share theirs. near = (column, most): scores of at least least need that whole
+    number within most of the crop's, which makes the second phase an equi-join; without it that is a theta join.
     """
-    c = crops.select(*[F.col(x).alias(f"{x}_c") for x in crops.columns])
-    o = others.select(*[F.col(x).alias(f"{x}_o") for x in others.columns])
+    keys = [x for x in crops.columns if x != "item"]
+    kinds = crops.select(*[F.col(x).alias(f"{x}_c") for x in keys]).distinct().withColumn("kind", F.struct(*[f"{x}_c" for x in keys]))
+    o = others.groupBy(*keys).agg(F.min("item").alias("item")).select(*[F.col(x).alias(f"{x}_o") for x in [*keys, "item"]])
     scored = lambda d, phase: d.withColumn("score", score).filter(F.col("score") >= least).withColumn("phase", F.lit(phase))
-    first = best_per(scored(c.join(o, F.col(f"{family}_c") == F.col(f"{family}_o")), "family"), "item_c", F.desc("score"), F.col("item_o"))
-    left = c.join(first.select("item_c"), "item_c", "left_anti")
-    second = best_per(scored(left.join(o, F.col(f"{family}_c") != F.col(f"{family}_o")), "all"), "item_c", F.desc("score"), F.col("item_o"))
-    return first.unionByName(second).select(F.col("item_c").alias("crop"), F.col("item_o").alias("parent"), "score", "phase")
+    best = lambda d: best_per(d, "kind", F.desc("score"), F.col("item_o")).select("kind", "item_o", "score", "phase")
+    first = best(scored(kinds.join(o, F.col(f"{family}_c") == F.col(f"{family}_o")), "family"))
+    left, on = kinds.join(first.select("kind"), "kind", "left_anti"), F.col(f"{family}_c") != F.col(f"{family}_o")
+    if near:
+        column, most = near
+        left, on = left.withColumn("_at", F.explode(F.sequence(F.col(f"{column}_c") - most, F.col(f"{column}_c") + most))), on & (F.col("_at") == F.col(f"{column}_o"))
+    second = best(scored(left.join(o, on), "all"))
+    found = crops.select(F.col("item").alias("crop"), F.struct(*[F.col(x).alias(f"{x}_c") for x in keys]).alias("kind"))
+    return found.join(first.unionByName(second), "kind").select("crop", F.col("item_o").alias("parent"), "score", "phase")
 
 
 def dispositions(pairs: DataFrame, eligible: DataFrame, item: str) -> DataFrame:

@@ -271,6 +271,16 @@ def family_two_phase(spark, sf_dir):
     return ops.parents_two_phase(parts.filter("item % 100 = 0"), parts.filter("item % 10 = 1"), "family", score, 99)
 
 
+@query("""WITH s AS (SELECT c.p_partkey AS crop, o.p_partkey AS parent, c.p_brand = o.p_brand AS family, 100 - abs(c.p_size - o.p_size) AS score FROM part c JOIN part o ON c.p_partkey % 100 = 0 AND o.p_partkey % 100 <> 0 WHERE 100 - abs(c.p_size - o.p_size) >= 99),
+f AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE family), g AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE NOT family AND crop NOT IN (SELECT crop FROM f))
+SELECT crop, parent, score, 'family' AS phase FROM f WHERE r = 1 UNION ALL SELECT crop, parent, score, 'all' FROM g WHERE r = 1""")
+def family_two_phase_all(spark, sf_dir):
+    """Every part that is no crop is a candidate; in the SQL of family_two_phase only every tenth part is."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("family"), "p_size")
+    score = 100 - F.abs(F.col("p_size_c") - F.col("p_size_o"))
+    return ops.parents_two_phase(parts.filter("item % 100 = 0"), parts.filter("item % 100 <> 0"), "family", score, 99, near=("p_size", 1))
+
+
 @query(f"WITH {fx.PAIRS} SELECT b, a, dist FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY dist, a) AS r FROM pairs) WHERE r = 1")
 def best_parent(spark, sf_dir):
     return ops.best_per(fx.pairs(spark, sf_dir), "b", F.col("dist"), F.col("a")).select("b", "a", "dist")

@@ -28,3 +28,28 @@ def test_dihedral_pairs_across_blocks(spark):
 def test_dihedral_pairs_of_all_vectors(spark):
     ids = catalog.QUERIES["dihedral_pairs_all"](spark, FOLDER).select(F.explode(F.array("a", "b")).alias("v")).filter("v % 10 <> 0")
     assert ids.count() > 0
+
+
+def test_parents_among_all_others(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.choice("abcdefgh"), rng.randint(1, 60)) for k in range(300)] + [(300, None, 5), (310, "a", None)]
+    crops, others = [r for r in rows if r[0] % 10 == 0], [r for r in rows if r[0] % 10]
+    want = set()
+    for item, family, size in crops:
+        scored = [(99 < 100 - abs(size - s) or abs(size - s) == 1, f == family, -(100 - abs(size - s)), o) for o, f, s in others] if family and size else []
+        for phase, same in (("family", True), ("all", False)):
+            best = min((x[2:] for x in scored if x[0] and x[1] == same), default=None)
+            if best:
+                want.add((item, best[1], -best[0], phase))
+                break
+    frame = lambda r: spark.createDataFrame(r, "item bigint, family string, p_size int")
+    score = 100 - F.abs(F.col("p_size_c") - F.col("p_size_o"))
+    assert {x[3] for x in want} == {"family", "all"}
+    for near in (None, ("p_size", 1)):
+        got = pairs.parents_two_phase(frame(crops), frame(others), "family", score, 99, near).collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_parents_of_every_tenth_of_parts(spark):
+    parents = catalog.QUERIES["family_two_phase_all"](spark, FOLDER)
+    assert parents.filter("parent % 10 <> 1").count() > 0
