@@ -176,7 +176,8 @@ def replicate_weights(clusters: DataFrame, cluster: str, replicates: int, seed:
     reps = clusters.sparkSession.range(replicates).select(F.col("id").alias("replicate"))
     draws = reps.join(F.broadcast(n)).filter("_n > 0").select("replicate", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("i"))
     drawn = draws.withColumn("_at", draw(seed, F.col("replicate"), F.col("i")) % F.col("_n"))
-    return drawn.groupBy("replicate", "_at").agg(F.count("*").alias("weight")).join(placed, "_at").select("replicate", cluster, "weight")
+    # Sizes are estimated before draws are exploded, so they could be taken for small: the hint forbids a broadcast.
+    return drawn.groupBy("replicate", "_at").agg(F.count("*").alias("weight")).join(placed.hint("merge"), "_at").select("replicate", cluster, "weight")
 
 
 def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -188,7 +189,7 @@ def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, replicates: int
     weights = replicate_weights(gt, cluster, replicates, seed)
     # There are replicates times clusters of weights, which no estimate sees, so they are not to be broadcast.
     rows = scored.join(weights.hint("merge"), cluster).select("replicate", "cls", "det", "conf", "tp", "weight")
-    truths = gt.groupBy("cls", cluster).agg(F.count("*").alias("n")).join(weights, cluster).groupBy("replicate", "cls").agg(F.sum(F.col("n") * F.col("weight")).alias("n_gt"))
+    truths = gt.groupBy("cls", cluster).agg(F.count("*").alias("n")).join(weights.hint("merge"), cluster).groupBy("replicate", "cls").agg(F.sum(F.col("n") * F.col("weight")).alias("n_gt"))
     every = gt.select("cls").distinct().join(F.broadcast(gt.sparkSession.range(replicates).select(F.col("id").alias("replicate"))))
     full = every.join(truths, ["replicate", "cls"], "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
     return average_precision(rows, full, ["replicate", "cls"])

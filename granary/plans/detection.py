@@ -13,6 +13,8 @@ QUERIES, ORACLE_SQL = {}, {}
 HALF = "0.5"
 TEN = ", ".join(map(str, ops.OVERLAPS))
 REPLICATES = 50
+#: The reference's number of replicates.
+ALL_REPLICATES = 2000
 
 
 def query(sql: str | None = None):
@@ -175,14 +177,14 @@ def cluster_validity(spark, sf_dir):
     return ops.cluster_shares(gt, "cluster").withColumn("share", F.round("share", 6))
 
 
-def bootstrap_sql(cluster: str) -> str:
+def bootstrap_sql(cluster: str, replicates: int = REPLICATES) -> str:
     return f"""WITH {fx.BOXES}, {fx.matched_sql(HALF)},
 scored AS (SELECT d.cls, d.det, d.conf, (m.det IS NOT NULL)::int AS tp, {cluster.replace("image", "d.image")} AS cluster FROM det d LEFT JOIN matched m USING (det)),
 places AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS p FROM (SELECT DISTINCT {cluster} AS cluster FROM gt)), n AS (SELECT count(*) AS n FROM places),
-draws AS (SELECT r.range AS replicate, {fx.draw_sql(42, "r.range", "i.range")} % n.n AS p FROM range({REPLICATES}) r, n, range((SELECT n FROM n)) i),
+draws AS (SELECT r.range AS replicate, {fx.draw_sql(42, "r.range", "i.range")} % n.n AS p FROM range({replicates}) r, n, range((SELECT n FROM n)) i),
 weights AS (SELECT replicate, cluster, count(*) AS weight FROM draws JOIN places USING (p) GROUP BY ALL),
 truths AS (SELECT replicate, cls, sum(c * weight)::bigint AS n_gt FROM (SELECT cls, {cluster} AS cluster, count(*) AS c FROM gt GROUP BY ALL) JOIN weights USING (cluster) GROUP BY ALL),
-every AS (SELECT r.range AS replicate, c.cls, coalesce(t.n_gt, 0) AS n_gt FROM range({REPLICATES}) r CROSS JOIN (SELECT DISTINCT cls FROM gt) c LEFT JOIN truths t ON t.replicate = r.range AND t.cls = c.cls),
+every AS (SELECT r.range AS replicate, c.cls, coalesce(t.n_gt, 0) AS n_gt FROM range({replicates}) r CROSS JOIN (SELECT DISTINCT cls FROM gt) c LEFT JOIN truths t ON t.replicate = r.range AND t.cls = c.cls),
 rows_ AS (SELECT w.replicate, s.cls, s.det, s.conf, s.tp, w.weight FROM scored s JOIN weights w USING (cluster)),
 run AS (SELECT *, sum(tp * weight) OVER w::double / sum(weight) OVER w::double AS precision FROM rows_ WINDOW w AS (PARTITION BY replicate, cls ORDER BY conf DESC, det ROWS UNBOUNDED PRECEDING)),
 env AS (SELECT *, max(precision) OVER (PARTITION BY replicate, cls ORDER BY conf DESC, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM run),
@@ -190,10 +192,10 @@ ap AS (SELECT e.replicate, e.cls, coalesce(sum(x.envelope * x.tp * x.weight) / n
 SELECT cls, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.975), 6) AS high, avg((ap = 0)::int) AS zero_share FROM ap GROUP BY 1"""
 
 
-def bootstrap(spark, sf_dir, cluster):
+def bootstrap(spark, sf_dir, cluster, replicates=REPLICATES):
     det, gt = sides(spark, sf_dir)
     scored = ops.outcomes(det, ops.matches(det, gt, [0.5]), [0.5]).withColumn("cluster", cluster)
-    out = ops.interval(ops.bootstrap_ap(scored, gt.withColumn("cluster", cluster), "cluster", REPLICATES))
+    out = ops.interval(ops.bootstrap_ap(scored, gt.withColumn("cluster", cluster), "cluster", replicates))
     return out.select("cls", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "zero_share")
 
 
@@ -207,6 +209,18 @@ def bootstrap_ci_item(spark, sf_dir):
     return bootstrap(spark, sf_dir, F.col("image") % 1000)
 
 
+@query()
+def bootstrap_ci_cluster_all(spark, sf_dir):
+    """With the reference's replicates; the SQL of bootstrap_ci_cluster has REPLICATES."""
+    return bootstrap(spark, sf_dir, F.col("image") % 20, ALL_REPLICATES)
+
+
+@query()
+def bootstrap_ci_item_all(spark, sf_dir):
+    """Each image is a cluster, with the reference's replicates; the SQL of bootstrap_ci_item has a thousand clusters."""
+    return bootstrap(spark, sf_dir, F.col("image"), ALL_REPLICATES)
+
+
 @query(f"""WITH {fx.BOXES}, {fx.matched_sql(HALF)} SELECT d.det, d.conf, round((x2 - x1) * (y2 - y1), 6) AS pixels, round(least(x1, y1, 640 - x2, 640 - y2), 6) AS edge FROM det d WHERE d.det NOT IN (SELECT det FROM matched) ORDER BY d.conf DESC, d.det LIMIT 12""")
 def error_gallery(spark, sf_dir):
     det, gt = sides(spark, sf_dir)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from granary import catalog
 from granary.operators import pairs
+from granary.plans import detection as plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +57,15 @@ def test_parents_among_all_others(spark):
 def test_parents_of_every_tenth_of_parts(spark):
     parents = catalog.QUERIES["family_two_phase_all"](spark, FOLDER)
     assert parents.filter("parent % 10 <> 1").count() > 0
+
+
+@pytest.mark.parametrize(("name", "cluster"), [("bootstrap_ci_cluster_all", "image % 20"), ("bootstrap_ci_item_all", "image")])
+def test_bootstrap_with_all_replicates(spark, name, cluster):
+    duck = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        duck.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")
+    want = duck.sql(f"SELECT cls, low, high, zero_share FROM ({plans.bootstrap_sql(cluster, 2000)}) ORDER BY cls").fetchall()
+    got = catalog.QUERIES[name](spark, FOLDER).select("cls", "low", "high", "zero_share").orderBy("cls").collect()
+    assert [r[0] for r in got] == [r[0] for r in want]
+    for r, w in zip(got, want, strict=True):
+        assert tuple(r)[1:] == pytest.approx(w[1:], abs=2e-6)
