@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hamming
+from ..functions.ranking import running
 from ..functions.storage import ship, stored
 
 
@@ -147,10 +148,11 @@ def percentiles(df: DataFrame, value: str, ps: Sequence[float]) -> DataFrame:
 
 def percentile_lower(df: DataFrame, value: str, p: float) -> DataFrame:
     """(value): the entry at floor(p * (n - 1)) of the sorted values."""
-    w = Window.orderBy(value)
-    n = df.filter(F.col(value).isNotNull()).count()
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     at = int(p * (n - 1)) + 1
-    return df.filter(F.col(value).isNotNull()).select(value).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == at).select(value)
+    found = running(counts, value, "_n").filter((F.col("upto") >= at) & (F.col("upto") - F.col("_n") < at))
+    return found.select(value)
 
 
 def union_candidates(hashed: DataFrame, embedded: DataFrame) -> DataFrame:

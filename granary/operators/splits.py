@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ranking import running
 from ..functions.scalars import draw
 from ..functions.storage import ship
 
@@ -147,8 +148,8 @@ def gate(facts: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
 
 def place_unassigned(items: DataFrame, assigned: DataFrame, item: str, first_group: int) -> DataFrame:
     """(item, split, group_id) of items without an assignment: train, each in a fresh group."""
-    rest = items.join(assigned, item, "left_anti")
-    return rest.select(F.col(item), F.lit("train").alias("split"), (F.row_number().over(Window.orderBy(item)) + first_group - 1).cast("bigint").alias("group_id"))
+    rest = running(items.select(item).join(assigned, item, "left_anti"), item)
+    return rest.select(F.col(item), F.lit("train").alias("split"), (F.col("upto") + first_group - 1).cast("bigint").alias("group_id"))
 
 
 def sample_by_draw(items: DataFrame, item: str, k: int, seed: int = 42) -> DataFrame:

@@ -88,6 +88,12 @@ def percentile_lower(spark, sf_dir):
     return ops.percentile_lower(lines, "v", 0.9)
 
 
+@query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem) SELECT v FROM s WHERE r = floor(0.9::double * (n - 1)) + 1")
+def percentile_lower_all(spark, sf_dir):
+    """Of all lines; the SQL of percentile_lower takes the first line of each order."""
+    return ops.percentile_lower(table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("v")), "v", 0.9)
+
+
 @query(f"""WITH {fx.PAIRS}, {KNN}, e AS (SELECT least(query, candidate) AS a, greatest(query, candidate) AS b, max(c) AS cosine FROM knn GROUP BY 1, 2)
 SELECT coalesce(p.a, e.a) AS a, coalesce(p.b, e.b) AS b, p.dist, round(e.cosine, 6) AS cosine FROM pairs p FULL JOIN e ON p.a = e.a AND p.b = e.b""")
 def candidate_union(spark, sf_dir):

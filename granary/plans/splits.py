@@ -97,6 +97,13 @@ def unassigned_to_train(spark, sf_dir):
     return ops.place_unassigned(items.filter("doc_id % 3 = 0"), items.filter("quality IS NOT NULL").select("doc_id"), "doc_id", 1000)
 
 
+@query(f"WITH {fx.ITEMS} SELECT doc_id, 'train' AS split, row_number() OVER (ORDER BY doc_id) + 999 AS group_id FROM items WHERE quality IS NULL")
+def unassigned_to_train_all(spark, sf_dir):
+    """All documents without a label; the SQL of unassigned_to_train takes a third of the ids."""
+    items = fx.items(spark, sf_dir)
+    return ops.place_unassigned(items, items.filter("quality IS NOT NULL").select("doc_id"), "doc_id", 1000)
+
+
 @query(f"SELECT doc_id FROM documents ORDER BY {fx.draw_sql(42, 'doc_id')}, doc_id LIMIT 25")
 def seeded_sample(spark, sf_dir):
     return ops.sample_by_draw(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 25)

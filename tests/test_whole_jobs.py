@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary import catalog
-from granary.operators import pairs
+from granary.operators import pairs, splits
 from granary.plans import detection as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -69,3 +69,22 @@ def test_bootstrap_with_all_replicates(spark, name, cluster):
     assert [r[0] for r in got] == [r[0] for r in want]
     for r, w in zip(got, want, strict=True):
         assert tuple(r)[1:] == pytest.approx(w[1:], abs=2e-6)
+
+
+def test_ranks_cross_ranges(spark):
+    rng = random.Random(9)
+    values = [rng.randint(0, 40) for _ in range(500)] + [None] * 7
+    df = spark.createDataFrame([(v,) for v in values], "v int")
+    known = sorted(v for v in values if v is not None)
+    for p in (0.0, 0.37, 0.9, 1.0):
+        assert [r[0] for r in pairs.percentile_lower(df, "v", p).collect()] == [known[int(p * (len(known) - 1))]]
+    assert pairs.percentile_lower(df.filter("v IS NULL"), "v", 0.9).count() == 0
+    items, taken = spark.range(0, 300, 1, 7), spark.range(0, 300, 3)
+    placed = splits.place_unassigned(items, taken, "id", 1000)
+    want = [(i, "train", 1000 + k) for k, i in enumerate(i for i in range(300) if i % 3)]
+    assert sorted(map(tuple, placed.collect())) == want
+
+
+def test_all_unassigned_are_placed(spark):
+    assert catalog.QUERIES["unassigned_to_train_all"](spark, FOLDER).filter("doc_id % 3 <> 0").count() > 0
+    assert catalog.QUERIES["percentile_lower_all"](spark, FOLDER).count() == 1
