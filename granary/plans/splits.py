@@ -65,13 +65,13 @@ def measures():
 def randomised_group_split(spark, sf_dir):
     items = fx.items(spark, sf_dir)
     stats = ops.group_stats(items, "prefix", measures(), F.col("number") == 0)
-    return ops.search_groups(stats, "prefix", list(measures()), rounds=2000)
+    return ops.search_groups(stats, "prefix", list(measures()))
 
 
 @query()
 def size_ordered_group_split(spark, sf_dir):
     stats = ops.group_stats(fx.items(spark, sf_dir), "prefix", measures())
-    return ops.search_groups(stats, "prefix", list(measures()), rounds=2000, by_size=True, targets=(0.68, 0.16, 0.16))
+    return ops.search_groups(stats, "prefix", list(measures()), by_size=True, targets=(0.68, 0.16, 0.16))
 
 
 @query()
@@ -194,7 +194,7 @@ def best_row_per_key(spark, sf_dir):
 def session_group_split(spark, sf_dir):
     """Sessions dealt to splits, by decreasing size in every third round and in random orders else."""
     found = ses.by_day(table(spark, sf_dir, "events"), "event_type", "ts").withColumn("grp", F.concat_ws("/", "event_type", F.col("session").cast("string")))
-    return ops.search_groups(ops.group_stats(found, "grp", {"items": F.lit(1)}), "grp", ["items"], rounds=1000, by_size=True)
+    return ops.search_groups(ops.group_stats(found, "grp", {"items": F.lit(1)}), "grp", ["items"], by_size=True)
 
 
 @query()
@@ -203,7 +203,7 @@ def block_choice(spark, sf_dir):
     items, attempts = fx.items(spark, sf_dir), {}
     for size in (400, 100, 20):
         grouped = items.withColumn("grp", F.concat_ws("/", F.lit("b"), F.floor(F.col("number") / size).cast("string")))
-        best = ops.search_groups(ops.group_stats(grouped, "grp", measures()), "grp", list(measures()), rounds=200)
+        best = ops.search_groups(ops.group_stats(grouped, "grp", measures()), "grp", list(measures()))
         counts = grouped.groupBy("grp").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("largest_share"))
         attempts[size] = best.agg(F.max("deviation").alias("deviation")).join(F.broadcast(counts))
     return spark.createDataFrame([(ops.choose_block(spark, attempts),)], "block int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import os
 import random
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from granary import catalog
 from granary.operators import pairs, splits
 from granary.plans import detection as plans
+from granary.plans import splits as split_plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -88,3 +90,18 @@ def test_ranks_cross_ranges(spark):
 def test_all_unassigned_are_placed(spark):
     assert catalog.QUERIES["unassigned_to_train_all"](spark, FOLDER).filter("doc_id % 3 <> 0").count() > 0
     assert catalog.QUERIES["percentile_lower_all"](spark, FOLDER).count() == 1
+
+
+@pytest.mark.parametrize("name", ["randomised_group_split", "size_ordered_group_split", "session_group_split", "block_choice"])
+def test_searches_run_all_rounds(spark, monkeypatch, name):
+    search, asked = splits.search_groups, []
+
+    def seen(*args, **given):
+        bound = inspect.signature(search).bind(*args, **given)
+        bound.apply_defaults()
+        asked.append(bound.arguments["rounds"])
+        return search(*args, **given | {"rounds": 3})
+
+    monkeypatch.setattr(split_plans.ops, "search_groups", seen)
+    catalog.QUERIES[name](spark, FOLDER)
+    assert asked and set(asked) == {20_000}
