@@ -29,21 +29,40 @@ def _pack(bits: np.ndarray, first_high: bool) -> int:
     return int.from_bytes(word, "big" if first_high else "little", signed=True)
 
 
+def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means of a grey image over the cells of a height x width grid, edges weighted by the part that a cell covers."""
+
+    def cover(n: int, cells: int) -> np.ndarray:
+        ends = np.arange(cells + 1) * (n / cells)
+        low, high = np.maximum.outer(ends[:-1], np.arange(n)), np.minimum.outer(ends[1:], np.arange(1, n + 1))
+        return np.maximum(high - low, 0) * (cells / n)
+
+    return cover(grey.shape[0], height) @ grey.astype(float) @ cover(grey.shape[1], width).T
+
+
 def phash_median(grey: np.ndarray) -> int:
-    """64 bits: coefficients above their median, the constant one included; first bit highest, as a signed number."""
-    c = low_frequencies(grey)
+    """64 bits of an image resized to 32 x 32: coefficients above their median, the constant one included; first bit
+    highest, as a signed number."""
+    c = low_frequencies(np.rint(area_resize(grey, 32, 32)))
     return _pack(c > np.median(c), True)
 
 
+def phash_median_flipped(grey: np.ndarray) -> int:
+    """phash_median of the mirror image."""
+    return phash_median(np.fliplr(grey))
+
+
 def phash_mean(grey: np.ndarray) -> int:
-    """64 bits: coefficients above the mean of all but the constant one; first bit lowest, as a signed number."""
-    c = low_frequencies(grey)
+    """64 bits of an image resized to 32 x 32: coefficients above the mean of all but the constant one; first bit lowest,
+    as a signed number."""
+    c = low_frequencies(area_resize(grey, 32, 32))
     return _pack(c > c.reshape(-1)[1:].mean(), False)
 
 
-def dhash(tile: np.ndarray) -> int:
-    """64 bits of an 8 x 9 tile: each cell brighter than its left neighbour; first bit highest."""
-    return _pack(tile[:, 1:] > tile[:, :-1], True)
+def dhash(grey: np.ndarray) -> int:
+    """64 bits of an image resized to 8 rows of 9: each cell brighter than its right neighbour; first bit highest."""
+    tile = np.rint(area_resize(grey, 8, 9))
+    return _pack(tile[:, :-1] > tile[:, 1:], True)
 
 
 def dihedral(grey: np.ndarray) -> list[np.ndarray]:
@@ -79,6 +98,11 @@ def not_white_mask(rgb: np.ndarray, most: int = 240) -> np.ndarray:
     return (rgb < most).any(-1)
 
 
+def foreground_mask(rgb: np.ndarray, prefix: str, leafy: frozenset[str] | set[str]) -> np.ndarray:
+    """What belongs to the subject: green pixels where the prefix is one of leaves in the field, else all that are not white."""
+    return green_mask(rgb) if prefix in leafy else not_white_mask(rgb)
+
+
 def sign_bits(vector: Column, n: int = 64) -> Column:
     """Bit i is one where element i is positive; a signed number."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.get(vector, i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import iou
 from ..functions.scalars import draw
+from ..functions.storage import ship, stored
 
 #: The ten overlaps of the averaged metric.
 OVERLAPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
@@ -28,57 +31,96 @@ def candidates(det: DataFrame, gt: DataFrame, least: float, same_class: bool = T
     return met.filter(F.col("iou") >= least).select("image", "det", "gt", "cls", "gt_cls", "conf", "iou")
 
 
-def matches(det: DataFrame, gt: DataFrame, overlaps: Sequence[float] = OVERLAPS) -> DataFrame:
-    """(overlap, image, det, gt, cls, conf, iou) of true positives.
+def claims(det: DataFrame, gt: DataFrame, least: float, same_class: bool = True) -> DataFrame:
+    """(image, det, gt, cls, gt_cls, conf, iou, taken): the true box that each detection claims.
 
     A detection claims the true box it overlaps most, ties to the lower one; of its claimants a box takes the most
-    confident, ties to the lower one. A detection whose box is taken does not try another.
+    confident, ties to the lower one. A detection whose box is taken does not try another. Which box is claimed is the
+    same at every overlap; taken is the best overlap among the claimants before, so a claim is won at all overlaps
+    over taken and up to iou, whatever overlaps are asked for.
     """
-    found = candidates(det, gt, min(overlaps)).withColumn("overlap", F.explode(F.array(*[F.lit(t) for t in overlaps]))).filter("iou >= overlap")
-    claim = Window.partitionBy("overlap", "image", "det").orderBy(F.desc("iou"), "gt")
-    take = Window.partitionBy("overlap", "image", "gt").orderBy(F.desc("conf"), "det")
-    claims = found.withColumn("_c", F.row_number().over(claim)).filter("_c = 1")
-    return claims.withColumn("_t", F.row_number().over(take)).filter("_t = 1").select("overlap", "image", "det", "gt", "cls", "conf", "iou")
+    claim = Window.partitionBy("image", "det").orderBy(F.desc("iou"), "gt")
+    before = Window.partitionBy("image", "gt").orderBy(F.desc("conf"), "det").rowsBetween(Window.unboundedPreceding, -1)
+    made = candidates(det, gt, least, same_class).withColumn("_c", F.row_number().over(claim)).filter("_c = 1").drop("_c")
+    return made.withColumn("taken", F.coalesce(F.max("iou").over(before), F.lit(0.0)))
 
 
-def outcomes(det: DataFrame, matched: DataFrame, overlaps: Sequence[float]) -> DataFrame:
-    """(overlap, image, det, cls, conf, tp) of every detection at every overlap."""
-    every = det.select("image", "det", "cls", "conf", F.explode(F.array(*[F.lit(t) for t in overlaps])).alias("overlap"))
-    hit = matched.select("overlap", "det", F.lit(1).alias("tp"))
-    return every.join(hit, ["overlap", "det"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
+def matches(det: DataFrame, gt: DataFrame, overlaps: Sequence[float] = OVERLAPS, same_class: bool = True) -> DataFrame:
+    """(overlap, image, det, gt, cls, gt_cls, conf, iou) of true positives."""
+    won = F.filter(F.array(*[F.lit(t) for t in overlaps]), lambda t: (t > F.col("taken")) & (t <= F.col("iou")))
+    return claims(det, gt, min(overlaps), same_class).select(F.explode(won).alias("overlap"), "image", "det", "gt", "cls", "gt_cls", "conf", "iou")
 
 
-def precision_curve(scored: DataFrame, truths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every detection with precision, recall and envelope along falling confidence; weights count repetitions.
+def flag(k: int) -> str:
+    """The column that says whether a detection is a true positive at the k-th overlap."""
+    return f"tp{k}"
 
-    scored: keys, det, conf, tp, weight. truths: keys, n_gt. The envelope is the best precision from there on.
-    """
-    order = [F.desc("conf"), F.col("det")]
-    run = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # The rows from here on, read from the other end: a frame that begins with the first row is kept up row by row.
-    rest = Window.partitionBy(*keys).orderBy(F.asc("conf"), F.desc("det")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumns({"cum_tp": F.sum(F.col("tp") * F.col("weight")).over(run), "cum_all": F.sum("weight").over(run)})
-    ranked = ranked.withColumn("precision", F.try_divide(F.col("cum_tp").cast("double"), F.col("cum_all").cast("double")))
-    ranked = ranked.withColumn("envelope", F.max("precision").over(rest))
-    return ranked.join(truths, list(keys), "left").withColumn("recall", F.try_divide(F.col("cum_tp").cast("double"), F.col("n_gt").cast("double")))
 
+def outcomes(det: DataFrame, gt: DataFrame, overlaps: Sequence[float]) -> DataFrame:
+    """det with a column tp0, tp1, .. of zero or one for each overlap: one row a detection."""
+    own = claims(det, gt, min(overlaps)).select(F.col("det").alias("_det"), "iou", "taken")
+    met = det.join(own, F.col("det") == F.col("_det"), "left")
+    won = lambda t: F.when((F.col("taken") < t) & (F.col("iou") >= t), 1).otherwise(0)
+    return met.withColumns({flag(k): won(t) for k, t in enumerate(overlaps)}).drop("_det", "iou", "taken")
 
-def average_precision(scored: DataFrame, truths: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, ap): the area under the envelope; zero for a class without a detection or a true box."""
-    curve = precision_curve(scored, truths, keys)
-    area = curve.groupBy(*keys).agg(F.sum(F.col("envelope") * F.col("tp") * F.col("weight")).alias("area"))
-    return truths.join(area, list(keys), "left").select(*keys, F.coalesce(F.try_divide(F.col("area"), F.col("n_gt").cast("double")), F.lit(0.0)).alias("ap"))
 
+def dealt_by_confidence(scored: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
+    """scored, stored, with _p: the range of (keys, falling confidence, det) that a row is in; ranges are about even.
+
+    A class may hold any part of all detections, so it is no unit of work; ranges are, and what crosses them is the sums
+    and maxima of whole ranges.
+    """
+    parts = parts or max(1, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return stored(scored.repartitionByRange(parts, *keys, F.desc("conf"), F.col("det")).withColumn("_p", F.spark_partition_id()), "by-confidence")
 
-def truth_counts(gt: DataFrame, overlaps: Sequence[float]) -> DataFrame:
-    """(overlap, cls, n_gt)."""
-    return gt.groupBy("cls").agg(F.count("*").alias("n_gt")).withColumn("overlap", F.explode(F.array(*[F.lit(t) for t in overlaps])))
+
+def precision_curve(scored: DataFrame, truths: DataFrame, keys: Sequence[str], flags: Sequence[str] = ("tp0",)) -> DataFrame:
+    """Every detection with precision, recall and envelope along falling confidence, an array of each with an entry a flag.
+
+    scored: keys, det, conf and the flags. truths: keys, n_gt. The envelope is the best precision from there on.
+    Running sums and maxima are taken within ranges and carried over by those of the ranges before and behind.
+    """
+    dealt = dealt_by_confidence(scored.select(*keys, "det", "conf", *flags), keys)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range and class that meet, of which there are at most as many as ranges and classes.
+    sums = dealt.groupBy("_p", *keys).agg(F.count("*").alias("_n"), *[F.sum(f).alias(f"_s_{f}") for f in flags])
+    sums = sums.select("_p", *keys, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *[f"_s_{f}" for f in flags])])
+    run = Window.partitionBy("_p", *keys).orderBy(F.desc("conf"), "det").rowsBetween(Window.unboundedPreceding, 0)
+    # The rows from here on, read from the other end: a frame that begins with the first row is kept up row by row.
+    rest = Window.partitionBy("_p", *keys).orderBy(F.asc("conf"), F.desc("det")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.join(F.broadcast(sums), ["_p", *keys])
+    placed = placed.withColumns({"_all": F.count("*").over(run) + F.col("_n"), **{f"_c_{f}": F.sum(f).over(run) + F.col(f"_s_{f}") for f in flags}})
+    placed = placed.withColumns({f"_p_{f}": F.col(f"_c_{f}") / F.col("_all").cast("double") for f in flags})
+    tops = placed.groupBy("_p", *keys).agg(*[F.max(f"_p_{f}").alias(f"_m_{f}") for f in flags])
+    tops = tops.select("_p", *keys, *[F.max(f"_m_{f}").over(behind).alias(f"_m_{f}") for f in flags])
+    best = placed.join(F.broadcast(tops), ["_p", *keys])
+    best = best.withColumns({f"_e_{f}": F.greatest(F.max(f"_p_{f}").over(rest), F.col(f"_m_{f}")) for f in flags})
+    curve = best.join(F.broadcast(truths), list(keys), "left")
+    listed = lambda c: F.array(*[c(f) for f in flags])
+    recall = listed(lambda f: F.try_divide(F.col(f"_c_{f}").cast("double"), F.col("n_gt").cast("double")))
+    return curve.select(*keys, "det", "conf", *flags, listed(lambda f: F.col(f"_p_{f}")).alias("precision"), listed(lambda f: F.col(f"_e_{f}")).alias("envelope"), recall.alias("recall"))
+
+
+def average_precision(scored: DataFrame, truths: DataFrame, keys: Sequence[str], overlaps: Sequence[float]) -> DataFrame:
+    """(overlap, keys, ap): the area under the envelope; zero for a class without a detection or a true box."""
+    flags = [flag(k) for k in range(len(overlaps))]
+    curve = precision_curve(scored, truths, keys, flags)
+    areas = curve.groupBy(*keys).agg(*[F.sum(F.get("envelope", F.lit(k)) * F.col(f)).alias(f"_a_{f}") for k, f in enumerate(flags)])
+    ap = lambda f: F.coalesce(F.try_divide(F.col(f"_a_{f}"), F.col("n_gt").cast("double")), F.lit(0.0))
+    rows = F.inline(F.array(*[F.struct(F.lit(t).alias("overlap"), ap(f).alias("ap")) for t, f in zip(overlaps, flags, strict=True)]))
+    return truths.join(areas, list(keys), "left").select(*keys, rows).select("overlap", *keys, "ap")
+
+
+def truth_counts(gt: DataFrame) -> DataFrame:
+    """(cls, n_gt)."""
+    return gt.groupBy("cls").agg(F.count("*").alias("n_gt"))
 
 
 def ap_by_class(det: DataFrame, gt: DataFrame, overlaps: Sequence[float] = OVERLAPS) -> DataFrame:
     """(overlap, cls, ap)."""
-    scored = outcomes(det, matches(det, gt, overlaps), overlaps).withColumn("weight", F.lit(1))
-    return average_precision(scored, truth_counts(gt, overlaps), ["overlap", "cls"])
+    scored = outcomes(det, gt, overlaps)
+    return average_precision(scored, truth_counts(gt), ["cls"], overlaps)
 
 
 def map_summary(ap: DataFrame, absent: str = "zero") -> DataFrame:
@@ -111,13 +153,7 @@ def precision_recall(det: DataFrame, gt: DataFrame, least_conf: float, overlap:
 def confusion(det: DataFrame, gt: DataFrame, least_conf: float, overlap: float = 0.5, same_class: bool = True) -> DataFrame:
     """(pred, truth, n): matched classes, and `background` for a detection or a true box without a match."""
     sure = det.filter(F.col("conf") >= least_conf)
-    if same_class:
-        hit = matches(sure, gt, [overlap]).select("det", "gt", "cls", F.col("cls").alias("gt_cls"))
-    else:
-        found = candidates(sure, gt, overlap, False)
-        claim = Window.partitionBy("image", "det").orderBy(F.desc("iou"), "gt")
-        take = Window.partitionBy("image", "gt").orderBy(F.desc("conf"), "det")
-        hit = found.withColumn("_c", F.row_number().over(claim)).filter("_c = 1").withColumn("_t", F.row_number().over(take)).filter("_t = 1").select("det", "gt", "cls", "gt_cls")
+    hit = matches(sure, gt, [overlap], same_class).select("det", "gt", "cls", "gt_cls")
     pairs = hit.select(F.col("cls").alias("pred"), F.col("gt_cls").alias("truth"))
     false = sure.join(hit.select("det"), "det", "left_anti").select(F.col("cls").alias("pred"), F.lit("background").alias("truth"))
     missed = gt.join(hit.select("gt"), "gt", "left_anti").select(F.lit("background").alias("pred"), F.col("cls").alias("truth"))
@@ -180,19 +216,156 @@ def replicate_weights(clusters: DataFrame, cluster: str, replicates: int, seed:
     return drawn.groupBy("replicate", "_at").agg(F.count("*").alias("weight")).join(placed.hint("merge"), "_at").select("replicate", cluster, "weight")
 
 
-def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
+def weights_of_draws(drawn: DataFrame, cluster: str, replicates: int) -> DataFrame:
+    """(cluster, w) of rows (replicate, cluster, weight): a byte a replicate."""
+    ship(drawn.sparkSession)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        w = np.zeros(replicates, np.int64)
+        w[rows["replicate"]] = rows["weight"]
+        return pd.DataFrame({cluster: rows[cluster][:1], "w": [as_bytes(w)]})
+
+    kind = drawn.schema[cluster].dataType.simpleString()
+    return drawn.groupBy(cluster).applyInPandas(pack, f"`{cluster}` {kind}, w binary")
+
+
+def as_bytes(weights: np.ndarray) -> bytes:
+    """Weights as bytes; a cluster that is drawn over 255 times is an error, as no fair draw does that."""
+    if weights.size and weights.max() > 255:
+        raise ValueError("a cluster is drawn over 255 times")
+    return weights.astype(np.uint8).tobytes()
+
+
+def block_draws(upto: np.ndarray, b: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of a replicate's draws fall to block b, where upto holds the running sum of blocks' sizes from zero on.
+
+    The draws are halved again and again, each time by a binomial that is seeded by the halves' ends: so every task that
+    asks for a block gets the same numbers, all blocks' numbers add up, and no task makes those of all blocks.
+    """
+    low, high, k = 0, len(upto) - 1, np.full(replicates, upto[-1])
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = np.random.default_rng([seed, low, high]).binomial(k, (upto[middle] - upto[low]) / max(upto[high] - upto[low], 1))
+        low, high, k = (low, middle, left) if b < middle else (middle, high, k - left)
+    return k
+
+
+def resampled_weights(clusters: DataFrame, cluster: str, replicates: int, seed: int = 42, block: int = 2048) -> DataFrame:
+    """(cluster, w): how often each cluster is drawn, a byte a replicate; as many are drawn as there are, with replacement.
+
+    For any number of clusters: they are dealt to blocks, a block learns how many draws fall to it and deals them out.
+    """
+    ship(clusters.sparkSession)
+    known = clusters.select(cluster).filter(F.col(cluster).isNotNull()).distinct()
+    blocks = max(1, -(-known.count() // block))
+    dealt = stored(known.withColumn("_b", F.pmod(F.xxhash64(cluster), F.lit(blocks)).cast("int")), "clusters")
+    sizes = np.zeros(blocks, np.int64)
+    for r in dealt.groupBy("_b").agg(F.count("*").alias("n")).collect():
+        sizes[r["_b"]] = r["n"]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+
+    def draw_block(rows: pd.DataFrame) -> pd.DataFrame:
+        b, m = int(rows["_b"].iloc[0]), len(rows)
+        k = block_draws(upto, b, replicates, seed)
+        spots = np.random.default_rng([seed, b, blocks, 1]).integers(0, m, int(k.sum()))
+        w = np.bincount(spots * replicates + np.repeat(np.arange(replicates), k), minlength=m * replicates).reshape(m, replicates)
+        return pd.DataFrame({cluster: np.sort(rows[cluster].to_numpy()), "w": [as_bytes(x) for x in w]})
+
+    kind = clusters.schema[cluster].dataType.simpleString()
+    return dealt.groupBy("_b").applyInPandas(draw_block, f"`{cluster}` {kind}, w binary")
+
+
+def _curve(block: dict, tp0: np.ndarray, all0: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(precision, gain) at a block's true positives for some replicates, given the sums of all rows before the block.
+
+    The rows between carry no gain, and precision only falls along them, so their weights are added up.
+    """
+    ends = np.flatnonzero(block["tp"])
+    if not len(ends):
+        return np.zeros((1, at.stop - at.start)), np.zeros((1, at.stop - at.start))
+    own = block["w"][:, at][block["row"][: ends[-1] + 1]]
+    whole = np.cumsum(np.add.reduceat(own, np.concatenate([[0], ends[:-1] + 1]), axis=0, dtype=np.int64), axis=0) + all0[at]
+    gain = own[ends].astype(np.float64)
+    return np.divide(np.cumsum(gain, axis=0) + tp0[at], whole, out=np.zeros(gain.shape), where=whole > 0), gain
+
+
+def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, weights: DataFrame, replicates: int, rows: int = 8192) -> DataFrame:
     """(replicate, cls, ap) with clusters drawn anew for each replicate.
 
-    scored: (cls, det, conf, tp, cluster). A replicate gives its clusters' rows a weight instead of repeating them; the
-    weighted windows give the same average precision. Clusters of gt are those that are drawn.
+    scored: (cls, det, conf, tp0, cluster), weights: (cluster, w) of the clusters of gt. A replicate gives its clusters'
+    rows a weight instead of repeating them. Detections are dealt to blocks of about so many rows along falling
+    confidence; a block holds its rows and its clusters' weights, and numpy takes all replicates at once. Three passes
+    over the blocks: sums, then best precisions, then areas; between them go a number a block and replicate.
     """
-    weights = replicate_weights(gt, cluster, replicates, seed)
-    # There are replicates times clusters of weights, which no estimate sees, so they are not to be broadcast.
-    rows = scored.join(weights.hint("merge"), cluster).select("replicate", "cls", "det", "conf", "tp", "weight")
-    truths = gt.groupBy("cls", cluster).agg(F.count("*").alias("n")).join(weights.hint("merge"), cluster).groupBy("replicate", "cls").agg(F.sum(F.col("n") * F.col("weight")).alias("n_gt"))
-    every = gt.select("cls").distinct().join(F.broadcast(gt.sparkSession.range(replicates).select(F.col("id").alias("replicate"))))
-    full = every.join(truths, ["replicate", "cls"], "left").withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
-    return average_precision(rows, full, ["replicate", "cls"])
+    spark = scored.sparkSession
+    ship(spark)
+    parts = max(1, -(-scored.count() // rows))
+    dealt = dealt_by_confidence(scored.select("cls", "det", "conf", "tp0", F.col(cluster).alias("cluster")), ["cls"], parts)
+    weights = stored(weights.select(F.col(cluster).alias("cluster"), "w"), "weights")
+    # Names of its own: of columns that both sides of a cogroup share the planner can't tell which is meant.
+    needed = dealt.select(F.col("_p").alias("_q"), F.col("cls").alias("of"), "cluster").distinct().join(weights.hint("merge"), "cluster")
+    needed = needed.select("_q", "of", F.col("cluster").alias("name"), "w")
+    chunks = [slice(at, min(at + 64, replicates)) for at in range(0, replicates, 64)]
+
+    def pack(mine: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        mine = mine[mine["cluster"].isin(drawn["name"])]
+        if mine.empty:
+            return pd.DataFrame({"cls": [], "_p": [], "tp": [], "row": [], "w": [], "sums": []})
+        mine = mine.sort_values(["conf", "det"], ascending=[False, True], kind="stable")
+        place = pd.Series(np.arange(len(drawn)), index=drawn["name"])
+        row, tp = place.loc[mine["cluster"]].to_numpy(np.int32), mine["tp0"].to_numpy(np.uint8)
+        w = np.frombuffer(b"".join(drawn["w"]), np.uint8).reshape(len(drawn), replicates)
+        each, hits = np.bincount(row, minlength=len(drawn)), np.bincount(row, weights=tp, minlength=len(drawn))
+        sums = np.stack([hits @ w, each @ w]).astype(np.int64)
+        return pd.DataFrame({"cls": mine["cls"][:1], "_p": mine["_p"][:1], "tp": [tp.tobytes()], "row": [row.tobytes()], "w": [w.tobytes()], "sums": [sums.tolist()]})
+
+    kind = dealt.schema["cls"].dataType.simpleString()
+    blocks = dealt.groupBy("_p", "cls").cogroup(needed.groupBy("_q", "of")).applyInPandas(pack, f"cls {kind}, _p int, tp binary, row binary, w binary, sums array<array<bigint>>")
+    blocks = stored(blocks, "blocks")
+    each = blocks.select("cls", "_p", F.posexplode(F.arrays_zip(F.get("sums", F.lit(0)).alias("tp"), F.get("sums", F.lit(1)).alias("n"))).alias("r", "s"))
+    before = Window.partitionBy("cls", "r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    begun = each.select("cls", "_p", "r", *[F.coalesce(F.sum(F.col("s")[c]).over(before), F.lit(0)).alias(n) for c, n in (("tp", "tp0"), ("n", "all0"))])
+    gathered = lambda df, *names: df.groupBy("cls", "_p").agg(F.sort_array(F.collect_list(F.struct("r", *names))).alias("x")).select("cls", "_p", *[F.col("x")[n].alias(n) for n in names])
+    begun = stored(blocks.select("cls", "_p", "tp", "row", "w").join(gathered(begun, "tp0", "all0").hint("merge"), ["cls", "_p"]), "begun")
+
+    def parsed(f: pd.DataFrame) -> Iterator[tuple]:
+        for x in f.itertuples(index=False):
+            yield x, {"tp": np.frombuffer(x.tp, np.uint8), "row": np.frombuffer(x.row, np.int32), "w": np.frombuffer(x.w, np.uint8).reshape(-1, replicates)}, np.asarray(x.tp0), np.asarray(x.all0)
+
+    def tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            places = f["_p"].to_list()
+            for k, (x, block, tp0, all0) in enumerate(parsed(f)):
+                m = np.concatenate([_curve(block, tp0, all0, at)[0].max(axis=0) for at in chunks])
+                yield pd.DataFrame({"cls": [x.cls], "_p": [places[k]], "m": [m.tolist()]})
+
+    def areas(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            later = f["later"].to_list()
+            for k, (x, block, tp0, all0) in enumerate(parsed(f)):
+                out = []
+                for at in chunks:
+                    precision, gain = _curve(block, tp0, all0, at)
+                    envelope = np.maximum(np.maximum.accumulate(precision[::-1], axis=0)[::-1], np.asarray(later[k])[at])
+                    out.append((envelope * gain).sum(axis=0))
+                yield pd.DataFrame({"cls": [x.cls], "area": [np.concatenate(out).tolist()]})
+
+    highest = begun.mapInPandas(tops, f"cls {kind}, _p int, m array<double>").select("cls", "_p", F.posexplode("m").alias("r", "m"))
+    behind = Window.partitionBy("cls", "r").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    highest = highest.select("cls", "_p", "r", F.coalesce(F.max("m").over(behind), F.lit(0.0)).alias("later"))
+    ended = begun.join(gathered(highest, "later").hint("merge"), ["cls", "_p"]).mapInPandas(areas, f"cls {kind}, area array<double>")
+    area = ended.select("cls", F.posexplode("area").alias("replicate", "area")).groupBy("cls", "replicate").agg(F.sum("area").alias("area"))
+
+    def truths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for cls, part in f.groupby("cls"):
+                w = np.frombuffer(b"".join(part["w"]), np.uint8).reshape(len(part), replicates)
+                yield pd.DataFrame({"cls": [cls], "n": [(part["n"].to_numpy(np.int64) @ w).tolist()]})
+
+    counts = gt.groupBy("cls", F.col(cluster).alias("cluster")).agg(F.count("*").alias("n")).join(weights.hint("merge"), "cluster")
+    n_gt = counts.select("cls", "n", "w").mapInPandas(truths, f"cls {kind}, n array<bigint>").select("cls", F.posexplode("n").alias("replicate", "n")).groupBy("cls", "replicate").agg(F.sum("n").alias("n_gt"))
+    ap = F.coalesce(F.try_divide(F.col("area"), F.col("n_gt").cast("double")), F.lit(0.0))
+    return n_gt.join(area, ["cls", "replicate"], "left").select(F.col("replicate").cast("bigint").alias("replicate"), "cls", ap.alias("ap"))
 
 
 def interval(replicated: DataFrame, level: float = 0.95) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
+
+#: Parts into which the rows of an item with many edges are dealt.
+SALTS = 16
 
 
 def block_edges(items: DataFrame, item: str, prefix: str, number: Column, size: int) -> DataFrame:
@@ -23,25 +26,52 @@ def hash_edges(pairs: DataFrame, distance: str, most: int) -> DataFrame:
     return pairs.filter(F.col(distance) <= most).select("a", "b")
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(item, component) of all ends of edges (a, b); component is the least item that can be reached.
+def _star(edges: DataFrame, by: str) -> DataFrame:
+    """edges (hi, lo) with m: the least neighbour of column by, of all its neighbours for lo, of its lower ones for hi."""
+    if by == "lo":
+        seen = edges.select(F.col("lo").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        spread = "hi"
+    else:
+        seen, spread = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")), "lo"
+    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("_s", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    salted = edges.withColumn("_t", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(least.hint("merge"), (F.col(by) == F.col("u")) & (F.col("_t") == F.col("_s"))).select("hi", "lo", "m")
+
 
-    A round takes, for every item, the least label among its neighbours' and its own, then the label of that label, so
-    long chains halve. Tables are stored once a round; the loop ends when no label changes.
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(item, component) of the ends of edges (a, b); component is the least item that can be reached.
+
+    Edges from an item to itself tie nothing and are left out, as are rows with a null end. Alternating star rounds:
+    every item is tied to the least of its neighbours, first from the lower end, then from the upper one, until the
+    edges stay as they are. A hub's rows are dealt by a salt, so none lands in one task whole. A round's edges are a
+    table in the shared folder, which the next one replaces; counts and checksums reach the driver.
+    Rounds grow with the logarithm of the items.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = stored(both, "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "item"), "labels")
-    for _ in range(rounds):
-        offered = both.join(labels, both["b"] == labels["item"]).groupBy("a").agg(F.min("label").alias("offer"))
-        lower = labels.join(offered, labels["item"] == offered["a"]).select("item", F.least("label", "offer").alias("low"), F.col("label").alias("was"))
-        jump = lower.select(F.col("item").alias("_to"), F.col("low").alias("_low"))
-        nxt = stored(lower.join(jump, lower["low"] == jump["_to"], "left").select("item", F.least("low", F.coalesce("_low", "low")).alias("label"), "was"), "labels")
-        changed = not nxt.filter("label <> was").isEmpty()
-        labels = nxt.select("item", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+    def ordered(a: str, b: str, df: DataFrame) -> DataFrame:
+        return df.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
+
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """df stored, with its rows and their checksum, which are taken as it is written."""
+        seen = Observation()
+        table = stored(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("sum")), "edges")
+        return table, (seen.get["n"], seen.get["sum"])
+
+    now, before = kept(ordered("a", "b", edges))
+    for _ in range(most_rounds if before[0] else 0):
+        large = ordered("hi", "m", _star(now, "lo"))
+        small = _star(large, "hi")
+        new, after = kept(ordered("x", "m", small.select(F.explode(F.array("hi", "lo")).alias("x"), "m")))
+        discard(now)
+        now = new
+        if after == before:
+            break
+        before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    roots = now.select(F.col("lo").alias("item")).distinct()
+    return now.select(F.col("hi").alias("item"), F.col("lo").alias("component")).unionByName(roots.select("item", F.col("item").alias("component")))
 
 
 def with_components(items: DataFrame, item: str, edges: DataFrame) -> DataFrame:

@@ -4,16 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import hamming
+from ..functions.hashing import hamming, unit
 from ..functions.ranking import running
-from ..functions.storage import ship, stored
+from ..functions.storage import ship
+
+
+def _blocks(known: DataFrame, values: Sequence[str], n: int, block: int) -> DataFrame:
+    """Every unordered pair of blocks of about block rows, a block with itself too: (q, c) and each column of both
+    blocks as arrays, _x of block q and _y of block c.
+
+    known has item and the values, without nulls. A block is one row, so n * n / block values go through the shuffle.
+    """
+    blocks = max(1, -(-n // block))
+    dealt = known.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+    packed = dealt.groupBy("own").agg(*[F.collect_list(v).alias(v) for v in ("item", *values)])
+    left = packed.select(F.col("own").alias("q"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("c"), *[F.col(v).alias(f"{v}_x") for v in ("item", *values)])
+    right = packed.select(F.col("own").alias("_c"), *[F.col(v).alias(f"{v}_y") for v in ("item", *values)])
+    # A block's row is far larger than the estimate of its table, so it is not to be broadcast.
+    return left.join(right.hint("merge"), F.col("c") == F.col("_c")).drop("_c")
+
+
+def _numbers(lists: pa.ListArray, k: int) -> np.ndarray:
+    """Element k of a column of (nested) lists of numbers as one array with a row an entry."""
+    found = lists.slice(k, 1).flatten()
+    if not pa.types.is_list(found.type):
+        return found.to_numpy(zero_copy_only=False)
+    flat = found.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(found), -1)
+
+
+def _near_blocked(known: DataFrame, most: int, n: int, block: int) -> DataFrame:
+    """(a, b, dist) of known (item, h), h an array of variant codes, by comparing every pair of blocks once."""
+    ship(known.sparkSession)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            for row in range(batch.num_rows):
+                x, y, hx, hy = (batch.column(names.index(c)) for c in ("item_x", "item_y", "h_x", "h_y"))
+                same = batch.column(names.index("q"))[row].as_py() == batch.column(names.index("c"))[row].as_py()
+                ix, iy = x.slice(row, 1).flatten(), y.slice(row, 1).flatten()
+                one, two = (_numbers(h, row).astype(np.int64).view(np.uint64) for h in (hx, hy))
+                for at in range(0, len(ix), 256):
+                    part = one[at : at + 256]
+                    least = np.full((len(part), len(two)), 65, np.uint8)
+                    for k in range(two.shape[1]):
+                        np.minimum(least, np.bitwise_count(part[:, 0, None] ^ two[None, :, k]), out=least)
+                        if k:
+                            np.minimum(least, np.bitwise_count(part[:, k, None] ^ two[None, :, 0]), out=least)
+                    i, j = np.nonzero(least <= most)
+                    if same:
+                        keep = i + at < j
+                        i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([ix.take(pa.array(i + at)), iy.take(pa.array(j)), pa.array(least[i, j].astype(np.int32))], names=["x", "y", "dist"])
+
+    kind = known.schema["item"].dataType.simpleString()
+    met = _blocks(known, ["h"], n, block).mapInArrow(compare, f"x {kind}, y {kind}, dist int")
+    return met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
+
+
+#: Seconds that one row of a shuffle, one meeting in a join and one comparison within blocks take, roughly: what weighs
+#: the two forms of a Hamming join against each other.
+ROW_COST, MEETING_COST, COMPARISON_COST = 1e-6, 1e-7, 3e-9
+
+
+def _volume(size: int, radius: int) -> int:
+    return sum(comb(size, r) for r in range(radius + 1))
+
+
+def _sizes(chunks: int) -> list[int]:
+    return [64 // chunks + (k < 64 % chunks) for k in range(chunks)]
+
+
+def best_chunks(n: int, most: int, variants: int = 1) -> int | None:
+    """Into how many chunks n codes are best cut for a join within most bits; None where comparing all in blocks is
+    cheaper. Meetings are those of evenly spread codes."""
+    cost: dict[int | None, float] = {None: COMPARISON_COST * n * n / 2 * (2 * variants - 1)}
+    for chunks in range(1, min(most + 1, 32) + 1):
+        sizes, radius = _sizes(chunks), most // chunks
+        balls = [_volume(s, radius) for s in sizes]
+        if max(balls) <= 4096:
+            meetings = n * n * variants * sum(v / 2**s for v, s in zip(balls, sizes, strict=True))
+            cost[chunks] = MEETING_COST * meetings + ROW_COST * n * (variants * chunks + sum(balls))
+    return min(cost, key=lambda c: cost[c])
 
 
 def _ball(chunk: int, value: Column, flips: Sequence[int]) -> Column:
@@ -21,72 +103,66 @@ def _ball(chunk: int, value: Column, flips: Sequence[int]) -> Column:
     return F.transform(F.array(*[F.lit(f).cast("bigint") for f in flips]), lambda f: F.struct(F.lit(chunk).alias("chunk"), value.bitwiseXOR(f).alias("value")))
 
 
-def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int | None = None) -> DataFrame:
-    """(a, b, dist) with a < b of 64-bit codes at most so far apart, as an equi-join.
+def _near_joined(left: DataFrame, right: DataFrame, most: int, chunks: int) -> DataFrame:
+    """(a, b, code_a, code_b) of left (a, code_a) and right (b, code_b) whose codes are at most so far apart.
 
-    The code is cut into chunks; in one of them two such codes differ in at most most // chunks bits. One side emits
-    its chunks, the other the balls of that radius around them; the whole codes verify a meeting. A pair is kept where
-    it meets first, so no later distinct is needed. Null codes never match.
+    In one of the chunks two such codes differ in at most most // chunks bits. The left emits its chunks, the right the
+    balls of that radius around its own; the whole codes verify a meeting. A pair is kept where it meets first.
     """
-    chunks = chunks or max(1, most // 3 + 1)
-    sizes = [64 // chunks + (k < 64 % chunks) for k in range(chunks)]
-    radius, at, parts, balls = most // chunks, 0, [], []
+    sizes, radius, at, parts, balls = _sizes(chunks), most // chunks, 0, [], []
+    part = lambda c, at, size: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint"))
     for k, size in enumerate(sizes):
-        value = F.shiftrightunsigned(F.col(code), at).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint"))
-        parts.append(F.struct(F.lit(k).alias("chunk"), value.alias("value")))
+        parts.append(F.struct(F.lit(k).alias("chunk"), part(F.col("code_a"), at, size).alias("value")))
         flips = sorted(sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(size), r))
-        flips = [f - (1 << 64) if f >> 63 else f for f in flips]
-        balls.append(_ball(k, value, flips))
+        balls.append(_ball(k, part(F.col("code_b"), at, size), [f - (1 << 64) if f >> 63 else f for f in flips]))
         at += size
-    known = items.filter(F.col(code).isNotNull())
-    left = known.select(F.col(item).alias("a"), F.col(code).alias("code_a"), F.explode(F.array(*parts)).alias("p")).select("a", "code_a", "p.chunk", "p.value")
-    right = known.select(F.col(item).alias("b"), F.col(code).alias("code_b"), F.explode(F.concat(*balls)).alias("p")).select("b", "code_b", "p.chunk", "p.value")
+    one = left.select("a", "code_a", F.explode(F.array(*parts)).alias("p")).select("a", "code_a", "p.chunk", "p.value")
+    two = right.select("b", "code_b", F.explode(F.concat(*balls)).alias("p")).select("b", "code_b", "p.chunk", "p.value")
     # Sizes are estimated before rows are exploded, so the balls could be taken for small: the hint forbids a broadcast.
-    met = left.join(right.hint("merge"), ["chunk", "value"]).filter((F.col("a") < F.col("b")) & (hamming(F.col("code_a"), F.col("code_b")) <= most))
+    met = one.join(two.hint("merge"), ["chunk", "value"]).filter(hamming(F.col("code_a"), F.col("code_b")) <= most)
     earlier, at = F.lit(False), 0
     for k, size in enumerate(sizes):
-        mask = F.lit((1 << size) - 1 if size < 64 else -1).cast("bigint")
-        within = F.bit_count(F.shiftrightunsigned(F.col("code_a").bitwiseXOR(F.col("code_b")), at).bitwiseAND(mask)) <= radius
+        within = F.bit_count(part(F.col("code_a").bitwiseXOR(F.col("code_b")), at, size)) <= radius
         earlier = earlier | ((F.col("chunk") > k) & within)
         at += size
-    return met.filter(~earlier).select("a", "b", hamming(F.col("code_a"), F.col("code_b")).alias("dist"))
+    return met.filter(~earlier).select("a", "b", "code_a", "code_b")
 
 
-def dihedral_pairs(items: DataFrame, item: str, variants: str, most: int, block: int = 4096) -> DataFrame:
-    """(a, b, dist) with a < b of all items whose variant hashes are at most so far apart.
+def hamming_pairs(items: DataFrame, item: str, code: str, most: int, chunks: int | None = None, block: int = 8192) -> DataFrame:
+    """(a, b, dist) with a < b of 64-bit codes at most so far apart.
 
-    dist is the least distance of the first variant of one to any of the other, both ways. At radii where balls around
-    chunks cover most of their values a join on them meets more pairs than there are, so items are dealt to blocks of
-    about block rows and every unordered pair of blocks is compared whole. Null variants never match.
+    For selective radii this is an equi-join on chunks of the code, see _near_joined; where balls around chunks cover
+    so much of their space that the join would meet more pairs than there are, each pair of blocks of codes is compared
+    once (see best_chunks; chunks forces the join). Null codes and items never match. At a radius at which chance pairs
+    are frequent the result itself grows with the square of the items.
     """
-    ship(items.sparkSession)
-    known = stored(items.filter(F.col(variants).isNotNull()).select(F.col(item).alias("item"), F.col(variants).alias("h")), "variants")
-    blocks = max(1, -(-known.count() // block))
-    base = known.withColumn("own", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
-    left = base.select("item", "h", F.col("own").alias("q"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("c"))
-    # The right side has names of its own: of columns that both sides share the planner drops those of one side.
-    right = base.select(F.col("item").alias("other"), F.col("h").alias("other_h"), F.col("own").alias("c"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("q"))
-
-    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": [], "b": [], "dist": []}).astype({"a": "int64", "b": "int64", "dist": "int32"})]
-        if x.empty or y.empty:
-            return out[0]
-        hx, hy = (np.stack(h.to_list()).astype(np.int64).view(np.uint64) for h in (x["h"], y["other_h"]))
-        ix, iy = x["item"].to_numpy(), y["other"].to_numpy()
-        for at in range(0, len(x), 256):
-            part = hx[at : at + 256]
-            least = np.full((len(part), len(iy)), 65, np.uint8)
-            for k in range(hy.shape[1]):
-                np.minimum(least, np.bitwise_count(part[:, 0, None] ^ hy[None, :, k]), out=least)
-                np.minimum(least, np.bitwise_count(part[:, k, None] ^ hy[None, :, 0]), out=least)
-            i, j = np.nonzero(least <= most)
-            one, two = ix[at : at + 256][i], iy[j]
-            keep = one < two if key[0] == key[1] else one != two
-            one, two = one[keep], two[keep]
-            out.append(pd.DataFrame({"a": np.minimum(one, two), "b": np.maximum(one, two), "dist": least[i, j][keep].astype("int32")}))
-        return pd.concat(out)
-
-    return left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(compare, "a bigint, b bigint, dist int")
+    known = items.filter(F.col(code).isNotNull() & F.col(item).isNotNull())
+    if chunks is None:
+        n = known.count()
+        chunks = best_chunks(n, most)
+        if chunks is None:
+            return _near_blocked(known.select(F.col(item).alias("item"), F.array(code).alias("h")), most, n, block)
+    sides = (known.select(F.col(item).alias(end), F.col(code).alias(f"code_{end}")) for end in ("a", "b"))
+    return _near_joined(*sides, most, chunks).filter("a < b").select("a", "b", hamming(F.col("code_a"), F.col("code_b")).alias("dist"))
+
+
+def dihedral_pairs(items: DataFrame, item: str, variants: str, most: int, chunks: int | None = None, block: int = 4096) -> DataFrame:
+    """(a, b, dist) with a < b of all items whose variant codes are at most so far apart.
+
+    dist is the least distance of the first variant of one to any of the other, both ways. variants: an array of as many
+    codes for every item; null arrays never match. Selective radii are joined by chunks, the first variants of one side
+    with the balls around all variants of the other; else each pair of blocks is compared once, as in hamming_pairs.
+    """
+    known = items.filter(F.col(variants).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(variants).alias("h"))
+    if chunks is None:
+        size = known.agg(F.count("*").alias("n"), F.max(F.size("h")).alias("v")).first()
+        chunks = best_chunks(size["n"], most, size["v"] or 1)
+        if chunks is None:
+            return _near_blocked(known, most, size["n"], block)
+    first = known.select(F.col("item").alias("b"), F.get("h", F.lit(0)).alias("code_b"))
+    every = known.select(F.col("item").alias("a"), F.explode("h").alias("code_a"))
+    met = _near_joined(every, first, most, chunks).filter("a <> b")
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min(hamming(F.col("code_a"), F.col("code_b"))).alias("dist"))
 
 
 def across(pairs: DataFrame, items: DataFrame, item: str, split: str) -> DataFrame:
@@ -103,39 +179,47 @@ def threshold_grid(pairs: DataFrame, value: str, thresholds: Sequence[float], at
     return counts.select(F.inline(rows))
 
 
-def nearest(items: DataFrame, item: str, vector: str, group: str, k: int = 5, block: int = 4096, n: int | None = None) -> DataFrame:
+def nearest(items: DataFrame, item: str, vector: str, group: str, k: int = 5, block: int = 2048, n: int | None = None) -> DataFrame:
     """(query, candidate, cosine, rank): the k nearest items of other groups, by cosine, ties by item.
 
-    Items are dealt to blocks of about block rows and every pair of blocks is one matrix product, so a task holds two
-    blocks; the best of all blocks are ranked at the end.
+    Exact: items are dealt to blocks of about block rows and every unordered pair of blocks is one matrix product that
+    serves both blocks, so a task holds two blocks; the best of all blocks are ranked at the end. Items, vectors and
+    groups that are null take no part; a zero vector has no direction and fails the query.
     """
     ship(items.sparkSession)
-    n = n or items.count()
-    blocks = max(1, -(-n // block))
-    base = items.select(F.col(item).alias("item"), F.col(vector).alias("vector"), F.col(group).alias("grp"), F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("own"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = base.select("item", "vector", "grp", F.col("own").alias("q"), F.explode(others).alias("c"))
-    right = base.select("item", "vector", "grp", F.col("own").alias("c"), F.explode(others).alias("q"))
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query": [], "candidate": [], "cosine": []}).astype({"query": "int64", "candidate": "int64", "cosine": "float64"})
-        x, y = (np.stack(d["vector"].to_list()).astype(float) for d in (a, b))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        out = []
-        names, groups = b["item"].to_numpy(), b["grp"].to_numpy()
-        for at in range(0, len(x), 512):
-            sims = np.round(x[at : at + 512] @ y.T, 9)
-            sims[a["grp"].to_numpy()[at : at + 512, None] == groups[None, :]] = -np.inf
-            for row, query in zip(sims, a["item"].to_numpy()[at : at + 512], strict=True):
-                edge = np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)]
-                keep = np.flatnonzero((row >= edge) & np.isfinite(row))
-                keep = keep[np.lexsort((names[keep], -row[keep]))][:k]
-                out.append(pd.DataFrame({"query": query, "candidate": names[keep], "cosine": row[keep]}))
-        return pd.concat(out)
-
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best, "query bigint, candidate bigint, cosine double")
+    base = items.filter(F.col(item).isNotNull() & F.col(vector).isNotNull() & F.col(group).isNotNull())
+    n = base.count() if n is None else n
+    base = base.select(F.col(item).alias("item"), unit(F.col(vector)).alias("vector"), F.col(group).alias("grp"))
+
+    def tops(sims: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of each row's k best, ties by name."""
+        rows, columns = [], []
+        for i, row in enumerate(sims):
+            edge = np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)]
+            keep = np.flatnonzero((row >= edge) & np.isfinite(row))
+            keep = keep[np.lexsort((names[keep], -row[keep]))][:k]
+            rows.append(np.full(len(keep), i))
+            columns.append(keep)
+        return np.concatenate(rows), np.concatenate(columns)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for row in range(batch.num_rows):
+                x, y = _numbers(col["vector_x"], row), _numbers(col["vector_y"], row)
+                ix, iy = col["item_x"].slice(row, 1).flatten(), col["item_y"].slice(row, 1).flatten()
+                nx, ny = (v.to_numpy(zero_copy_only=False) for v in (ix, iy))
+                gx, gy = _numbers(col["grp_x"], row), _numbers(col["grp_y"], row)
+                sims = np.round(x @ y.T, 9)
+                sims[gx[:, None] == gy[None, :]] = -np.inf
+                i, j = tops(sims, ny)
+                yield pa.RecordBatch.from_arrays([ix.take(pa.array(i)), iy.take(pa.array(j)), pa.array(sims[i, j])], names=["query", "candidate", "cosine"])
+                if col["q"][row] != col["c"][row]:
+                    j, i = tops(sims.T, nx)
+                    yield pa.RecordBatch.from_arrays([iy.take(pa.array(j)), ix.take(pa.array(i)), pa.array(sims[i, j])], names=["query", "candidate", "cosine"])
+
+    kind = items.schema[item].dataType.simpleString()
+    found = _blocks(base, ["vector", "grp"], n, block).mapInArrow(best, f"query {kind}, candidate {kind}, cosine double")
     w = Window.partitionBy("query").orderBy(F.desc("cosine"), "candidate")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import hashing
 from ..operators import graph, leakage, pairs as ops
 from ..sources.readers import table
 from . import fixtures as fx
@@ -44,21 +43,10 @@ def cross_vs_within(spark, sf_dir):
     return fx.pairs(spark, sf_dir).groupBy("cross_split").agg(F.count("*").alias("n"), F.min("dist").alias("nearest"))
 
 
-@query(f"""WITH {fx.CODES}, v AS (SELECT vec_id, [xor(code, k * 72340172838076673) FOR k IN range(8)] AS h FROM codes WHERE vec_id % 10 = 0),
-d AS (SELECT a.vec_id AS a, b.vec_id AS b, least(list_min([bit_count(xor(a.h[1], x)) FOR x IN b.h]), list_min([bit_count(xor(b.h[1], x)) FOR x IN a.h]))::int AS dist FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT a, b, dist FROM d WHERE dist <= 20""")
-def dihedral_pairs(spark, sf_dir):
-    variants = F.transform(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>"), lambda k: F.col("code").bitwiseXOR(k * F.lit(72340172838076673)))
-    v = fx.codes(spark, sf_dir).filter("vec_id % 10 = 0").select("vec_id", variants.alias("h"))
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("h").alias("ha")), v.select(F.col("vec_id").alias("b"), F.col("h").alias("hb"))
-    return a.join(b, F.col("a") < F.col("b")).withColumn("dist", hashing.min_dihedral(F.col("ha"), F.col("hb"))).filter("dist <= 20").select("a", "b", "dist")
-
-
 @query(f"""WITH {fx.CODES}, v AS (SELECT vec_id, [xor(code, k * 72340172838076673) FOR k IN range(8)] AS h FROM codes),
 d AS (SELECT a.vec_id AS a, b.vec_id AS b, least(list_min([bit_count(xor(a.h[1], x)) FOR x IN b.h]), list_min([bit_count(xor(b.h[1], x)) FOR x IN a.h]))::int AS dist FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT a, b, dist FROM d WHERE dist <= 20""")
-def dihedral_pairs_all(spark, sf_dir):
-    """All vectors; the SQL of dihedral_pairs compares a tenth of them."""
+def dihedral_pairs(spark, sf_dir):
     variants = F.transform(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>"), lambda k: F.col("code").bitwiseXOR(k * F.lit(72340172838076673)))
     return ops.dihedral_pairs(fx.codes(spark, sf_dir).select("vec_id", variants.alias("h")), "vec_id", "h", 20)
 
@@ -82,15 +70,8 @@ def cosine_percentiles(spark, sf_dir):
     return ops.percentiles(knn(spark, sf_dir), "cosine", [0.5, 0.75, 0.9, 0.95, 0.99, 1.0]).withColumn("value", F.round("value", 6))
 
 
-@query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem WHERE l_linenumber = 1) SELECT v FROM s WHERE r = floor(0.9::double * (n - 1)) + 1")
-def percentile_lower(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_extendedprice").alias("v"))
-    return ops.percentile_lower(lines, "v", 0.9)
-
-
 @query("WITH s AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem) SELECT v FROM s WHERE r = floor(0.9::double * (n - 1)) + 1")
-def percentile_lower_all(spark, sf_dir):
-    """Of all lines; the SQL of percentile_lower takes the first line of each order."""
+def percentile_lower(spark, sf_dir):
     return ops.percentile_lower(table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("v")), "v", 0.9)
 
 
@@ -111,6 +92,7 @@ def audit_overlap(spark, sf_dir):
 @query(f"""WITH {fx.AUDITED}, more AS (SELECT query AS a, candidate AS b FROM (SELECT vec_id AS query, vec_id + 7 AS candidate FROM embeddings WHERE vec_id % 9 = 0))
 SELECT a, b, dist FROM audited UNION ALL SELECT a, b, NULL FROM more m WHERE NOT EXISTS (SELECT 1 FROM audited x WHERE x.a = m.a AND x.b = m.b)""")
 def augmented_pairs(spark, sf_dir):
+    """The audited pairs and those of a second source, which ties every ninth vector to the one seven places on."""
     more = table(spark, sf_dir, "embeddings").filter("vec_id % 9 = 0").select(F.col("vec_id").alias("a"), (F.col("vec_id") + 7).alias("b"))
     return ops.add_absent(fx.audited(spark, sf_dir).select("a", "b", "dist"), more)
 
@@ -268,20 +250,11 @@ def rebuild_without_failed(spark, sf_dir):
     return graph.rebuild_without(pairs, pairs.filter("(a + b) % 3 = 0"))
 
 
-@query("""WITH s AS (SELECT c.p_partkey AS crop, o.p_partkey AS parent, c.p_brand = o.p_brand AS family, 100 - abs(c.p_size - o.p_size) AS score FROM part c JOIN part o ON c.p_partkey % 100 = 0 AND o.p_partkey % 10 = 1 WHERE 100 - abs(c.p_size - o.p_size) >= 99),
-f AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE family), g AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE NOT family AND crop NOT IN (SELECT crop FROM f))
-SELECT crop, parent, score, 'family' AS phase FROM f WHERE r = 1 UNION ALL SELECT crop, parent, score, 'all' FROM g WHERE r = 1""")
-def family_two_phase(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("family"), "p_size")
-    score = 100 - F.abs(F.col("p_size_c") - F.col("p_size_o"))
-    return ops.parents_two_phase(parts.filter("item % 100 = 0"), parts.filter("item % 10 = 1"), "family", score, 99)
-
-
 @query("""WITH s AS (SELECT c.p_partkey AS crop, o.p_partkey AS parent, c.p_brand = o.p_brand AS family, 100 - abs(c.p_size - o.p_size) AS score FROM part c JOIN part o ON c.p_partkey % 100 = 0 AND o.p_partkey % 100 <> 0 WHERE 100 - abs(c.p_size - o.p_size) >= 99),
 f AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE family), g AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY score DESC, parent) AS r FROM s WHERE NOT family AND crop NOT IN (SELECT crop FROM f))
 SELECT crop, parent, score, 'family' AS phase FROM f WHERE r = 1 UNION ALL SELECT crop, parent, score, 'all' FROM g WHERE r = 1""")
-def family_two_phase_all(spark, sf_dir):
-    """Every part that is no crop is a candidate; in the SQL of family_two_phase only every tenth part is."""
+def family_two_phase(spark, sf_dir):
+    """Crops are the parts whose number ends in 00; every other part is a candidate."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("family"), "p_size")
     score = 100 - F.abs(F.col("p_size_c") - F.col("p_size_o"))
     return ops.parents_two_phase(parts.filter("item % 100 = 0"), parts.filter("item % 100 <> 0"), "family", score, 99, near=("p_size", 1))

@@ -35,10 +35,12 @@ def padded_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def find_column(df: DataFrame, *fragments: str) -> str:
-    """The first column whose name holds all fragments, whatever their case."""
-    for c in df.columns:
-        if all(f.lower() in c.lower() for f in fragments):
-            return c
+    """The column that a fragment of its name finds: fragments are tried in order, and the first column that holds one
+    counts if it has a value that is a number; else the next fragment is tried. None found is an error."""
+    for f in fragments:
+        named = next((c for c in df.columns if f in c), None)
+        if named is not None and not df.filter(F.col(named).try_cast("double").isNotNull()).isEmpty():
+            return named
     raise KeyError(f"no column with {fragments}")
 
 

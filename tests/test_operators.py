@@ -56,25 +56,42 @@ def test_average_precision_edges(spark):
     assert detection.ap_by_class(det.limit(0), gt, [0.5]).agg(F.max("ap")).first()[0] == 0
 
 
-def test_weights_equal_repetition(spark):
-    rows = [("a", k, (k * 7 % 10) / 10, k % 3 == 0, k % 4) for k in range(10)]
-    scored = spark.createDataFrame([(c, d, f, int(t), g) for c, d, f, t, g in rows], "cls string, det int, conf double, tp int, cluster int")
-    gt = spark.createDataFrame([("a", k % 4) for k in range(12)], "cls string, cluster int")
-    weights = {(r["replicate"], r["cluster"]): r["weight"] for r in detection.replicate_weights(gt, "cluster", 5).collect()}
-    for r in range(5):
+@pytest.mark.parametrize("rows_a_block", [3, 8192])
+def test_weights_equal_repetition(spark, rows_a_block):
+    rows = [(c, 10 * n + k, (k * 7 % 10) / 10, k % 3 == 0, k % 4) for n, c in enumerate("ab") for k in range(10)]
+    scored = spark.createDataFrame([(c, d, f, int(t), g) for c, d, f, t, g in rows], "cls string, det int, conf double, tp0 int, cluster int")
+    gt = spark.createDataFrame([("a", k % 4) for k in range(12)] + [("b", 1), ("c", 2)], "cls string, cluster int")
+    drawn = detection.replicate_weights(gt, "cluster", 70)
+    weights = {(r["replicate"], r["cluster"]): r["weight"] for r in drawn.collect()}
+    for r in range(70):
         assert sum(w for (x, _), w in weights.items() if x == r) == 4
-    got = {x["replicate"]: x["ap"] for x in detection.bootstrap_ap(scored, gt, "cluster", 5).collect()}
-    for r in range(5):
-        drawn = sorted((-f, d, t) for c, d, f, t, g in rows for _ in range(weights.get((r, g), 0)))
-        n_gt = sum(3 * weights.get((r, g), 0) for g in range(4))
-        # Repeats of one row stand together, so the curve is read behind the last of them.
-        ends, tp = [], 0
-        for k, (f, d, t) in enumerate(drawn):
-            tp += t
-            if k + 1 == len(drawn) or drawn[k + 1][1] != d:
-                ends.append((tp / (k + 1), t, sum(1 for x in drawn if x[1] == d)))
-        area = sum(max(p for p, *_ in ends[k:]) * t * n for k, (_, t, n) in enumerate(ends))
-        assert got[r] == pytest.approx(area / n_gt)
+    got = {(x["replicate"], x["cls"]): x["ap"] for x in detection.bootstrap_ap(scored, gt, "cluster", detection.weights_of_draws(drawn, "cluster", 70), 70, rows_a_block).collect()}
+    assert len(got) == 210
+    for r in range(70):
+        for cls, clusters in (("a", [k % 4 for k in range(12)]), ("b", [1]), ("c", [2])):
+            repeated = sorted((-f, d, t) for c, d, f, t, g in rows if c == cls for _ in range(weights.get((r, g), 0)))
+            n_gt = sum(weights.get((r, g), 0) for g in clusters)
+            # Repeats of one row stand together, so the curve is read behind the last of them.
+            ends, tp = [], 0
+            for k, (f, d, t) in enumerate(repeated):
+                tp += t
+                if k + 1 == len(repeated) or repeated[k + 1][1] != d:
+                    ends.append((tp / (k + 1), t, sum(1 for x in repeated if x[1] == d)))
+            area = sum(max(p for p, *_ in ends[k:]) * t * n for k, (_, t, n) in enumerate(ends))
+            assert got[r, cls] == pytest.approx(area / n_gt if n_gt else 0.0)
+
+
+def test_items_are_drawn_with_replacement(spark):
+    items = spark.createDataFrame([(k,) for k in range(500)] * 2 + [(None,)], "image long")
+    for block in (64, 2048):
+        rows = detection.resampled_weights(items, "image", 300, block=block).collect()
+        w = np.stack([np.frombuffer(r["w"], np.uint8) for r in rows]).astype(int)
+        assert w.shape == (500, 300) and len({r["image"] for r in rows}) == 500
+        assert (w.sum(axis=0) == 500).all()
+        # A draw falls to an item with chance 1 / 500: no weight 0.368, one 0.368, two 0.184; an item's mean is one.
+        assert abs((w == 0).mean() - 0.368) < 0.01 and abs((w == 2).mean() - 0.184) < 0.01 and abs(w.mean(axis=1) - 1).max() < 0.3
+        again = {r["image"]: r["w"] for r in detection.resampled_weights(items.repartition(5), "image", 300, block=block).collect()}
+        assert again == {r["image"]: r["w"] for r in rows}
 
 
 def test_components_chain_and_star(spark):
@@ -91,23 +108,30 @@ def test_hamming_join_equals_all_pairs(spark, most):
     codes += [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 14))) for c in codes for _ in range(4)]
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([*enumerate(signed), (999, None)], "id int, code bigint")
-    got = sorted((r["a"], r["b"], r["dist"]) for r in pairs.hamming_pairs(df, "id", "code", most).collect())
     want = [(i, j, (codes[i] ^ codes[j]).bit_count()) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (codes[i] ^ codes[j]).bit_count() <= most]
-    assert got == sorted(want)
+    for form in ({"block": 30}, {"block": 4000}, {"chunks": most // 3 + 1}):
+        got = pairs.hamming_pairs(df, "id", "code", most, **form).collect()
+        assert sorted((r["a"], r["b"], r["dist"]) for r in got) == sorted(want)
+    assert pairs.hamming_pairs(df.limit(0), "id", "code", most).count() == 0
+
+
+def test_form_of_a_hamming_join():
+    assert pairs.best_chunks(2000, 18) is None and pairs.best_chunks(2315, 12, 8) is None
+    assert pairs.best_chunks(10**9, 3) is not None
 
 
 def test_nearest_across_blocks(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(60, 8))
     df = spark.createDataFrame([(k, v[k].tolist(), k % 3) for k in range(60)], "id bigint, vector array<float>, grp int")
-    got = pairs.nearest(df, "id", "vector", "grp", k=4, block=20)
+    rows = pairs.nearest(df, "id", "vector", "grp", k=4, block=20).orderBy("query", "rank").collect()
     u = v.astype("f4").astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     for q in range(60):
         order = sorted((-round(float(u[q] @ u[c]), 9), c) for c in range(60) if c % 3 != q % 3)[:4]
-        assert [r["candidate"] for r in got.filter(F.col("query") == q).orderBy("rank").collect()] == [c for _, c in order]
-        if q > 3:
-            break
+        assert [r["candidate"] for r in rows if r["query"] == q] == [c for _, c in order]
+    with pytest.raises(Exception, match="zero vector"):
+        pairs.nearest(spark.createDataFrame([(1, [0.0], 1), (2, [1.0], 2)], "id bigint, vector array<float>, grp int"), "id", "vector", "grp").collect()
 
 
 def test_stratified_rounds_half_to_even(spark):
@@ -214,7 +238,16 @@ def test_image_hashes():
     assert len(set(hashes)) == 8 and set(hashing.dihedral_hashes(np.rot90(image))) == set(hashes)
     assert hashing.dihedral_hashes(None) is None
     assert hashing.phash_median(image) == hashing.phash_median(image * 2)
-    assert hashing.dhash(np.tile(np.arange(9), (8, 1))) == -1
+    # Brighter to the right: no bit; brighter to the left: all; even: none.
+    assert hashing.dhash(np.tile(np.arange(9), (8, 1))) == 0 and hashing.dhash(np.tile(np.arange(9)[::-1], (8, 1))) == -1
+    assert hashing.dhash(np.full((80, 70), 9)) == 0
+    wide = np.kron(image, np.ones((3, 5)))
+    assert np.allclose(hashing.area_resize(wide, 32, 32), image) and hashing.phash_mean(wide) == hashing.phash_mean(image)
+    assert hashing.phash_median_flipped(image) == hashing.phash_median(image[:, ::-1]) != hashing.phash_median(image)
+    rgb = np.zeros((2, 2, 3), int)
+    rgb[0, 0], rgb[1, 1] = (20, 200, 30), (250, 250, 250)
+    assert hashing.foreground_mask(rgb, "FIELD", {"FIELD"}).tolist() == [[True, False], [False, False]]
+    assert hashing.foreground_mask(rgb, "LAB", {"FIELD"}).tolist() == [[True, True], [True, False]]
     assert hashing.laplacian_variance(np.ones((5, 5))) == 0
     basis = hashing.cosine_basis(16)
     assert np.allclose(basis @ basis.T, np.eye(16))
@@ -237,7 +270,7 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.folder_size(listed).first()["files"] == 2
     (tmp_path / "log.csv").write_text(" epoch,  metrics/mAP50(B)\n 1,  0.5\n")
     log = readers.padded_csv(spark, str(tmp_path / "log.csv"))
-    assert log.select(readers.find_column(log, "map50")).first()[0] == "0.5"
+    assert log.select(readers.find_column(log, "absent", "mAP50")).first()[0] == "0.5"
     (tmp_path / "m.json").write_text('{"a": {"b": [1, 2.5]}, "c": null}')
     assert {r["path"]: r["value"] for r in readers.json_leaves(spark, str(tmp_path / "m.json")).collect()} == {"a.b[0]": "1", "a.b[1]": "2.5", "c": None}
     assert readers.flat_yaml("path: /d\nnc: 3\nnames:\n  0: a\n  1: b\n") == {"path": "/d", "nc": 3, "names": {0: "a", 1: "b"}}

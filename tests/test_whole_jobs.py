@@ -1,12 +1,10 @@
-"""Queries over whole tables, where the SQL of an older query keeps to a part: against plain Python."""
+"""Jobs over whole tables against plain Python."""
 
 from __future__ import annotations
 
 import inspect
-import os
 import random
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,16 +24,12 @@ def test_dihedral_pairs_across_blocks(spark):
     far = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
     dist = lambda a, b: min(min(far(a[0], v) for v in b), min(far(b[0], v) for v in a))
     want = [(i, j, dist(codes[i], codes[j])) for i in range(len(codes)) for j in range(i + 1, len(codes)) if dist(codes[i], codes[j]) <= 24]
-    got = pairs.dihedral_pairs(df, "id", "h", 24, block=9)
-    assert want and sorted(map(tuple, got.collect())) == want
+    for form in ({"block": 9}, {"block": 900}, {"chunks": 9}):
+        got = pairs.dihedral_pairs(df, "id", "h", 24, **form)
+        assert want and sorted(map(tuple, got.collect())) == want
     assert pairs.dihedral_pairs(df.limit(0), "id", "h", 24).count() == 0
 
 
-def test_dihedral_pairs_of_all_vectors(spark):
-    ids = catalog.QUERIES["dihedral_pairs_all"](spark, FOLDER).select(F.explode(F.array("a", "b")).alias("v")).filter("v % 10 <> 0")
-    assert ids.count() > 0
-
-
 def test_parents_among_all_others(spark):
     rng = random.Random(6)
     rows = [(k, rng.choice("abcdefgh"), rng.randint(1, 60)) for k in range(300)] + [(300, None, 5), (310, "a", None)]
@@ -56,21 +50,29 @@ def test_parents_among_all_others(spark):
         assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
-def test_parents_of_every_tenth_of_parts(spark):
-    parents = catalog.QUERIES["family_two_phase_all"](spark, FOLDER)
-    assert parents.filter("parent % 10 <> 1").count() > 0
-
-
-@pytest.mark.parametrize(("name", "cluster"), [("bootstrap_ci_cluster_all", "image % 20"), ("bootstrap_ci_item_all", "image")])
-def test_bootstrap_with_all_replicates(spark, name, cluster):
-    duck = duckdb.connect()
-    for f in os.listdir(FOLDER):
-        duck.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")
-    want = duck.sql(f"SELECT cls, low, high, zero_share FROM ({plans.bootstrap_sql(cluster, 2000)}) ORDER BY cls").fetchall()
-    got = catalog.QUERIES[name](spark, FOLDER).select("cls", "low", "high", "zero_share").orderBy("cls").collect()
-    assert [r[0] for r in got] == [r[0] for r in want]
-    for r, w in zip(got, want, strict=True):
-        assert tuple(r)[1:] == pytest.approx(w[1:], abs=2e-6)
+def test_intervals_over_images(spark):
+    """Draws repeated row by row in plain Python, for a few replicates of the registered form."""
+    det, gt = plans.sides(spark, FOLDER)
+    gt = gt.withColumn("cluster", F.col("image"))
+    scored = plans.ops.outcomes(det, gt, [0.5]).withColumn("cluster", F.col("image"))
+    weights = plans.ops.resampled_weights(gt, "cluster", 6)
+    got = {(r["replicate"], r["cls"]): r["ap"] for r in plans.ops.bootstrap_ap(scored, gt, "cluster", weights, 6, rows=500).collect()}
+    w = {r["cluster"]: r["w"] for r in weights.collect()}
+    rows = scored.select("cls", "conf", "det", "tp0", "cluster").collect()
+    boxes = gt.select("cls", "cluster").collect()
+    for (r, cls), ap in got.items():
+        tp = n = 0
+        curve = []
+        for x in sorted((x for x in rows if x["cls"] == cls and x["cluster"] in w and w[x["cluster"]][r]), key=lambda x: (-x["conf"], x["det"])):
+            k = w[x["cluster"]][r]
+            tp, n = tp + k * x["tp0"], n + k
+            curve.append((tp / n, k * x["tp0"]))
+        best = area = 0
+        for p, k in reversed(curve):
+            best = max(best, p)
+            area += best * k
+        assert ap == pytest.approx(area / sum(w[b["cluster"]][r] for b in boxes if b["cls"] == cls))
+    assert len(got) == 18 and plans.REPLICATES == 2000
 
 
 def test_ranks_cross_ranges(spark):
@@ -87,11 +89,6 @@ def test_ranks_cross_ranges(spark):
     assert sorted(map(tuple, placed.collect())) == want
 
 
-def test_all_unassigned_are_placed(spark):
-    assert catalog.QUERIES["unassigned_to_train_all"](spark, FOLDER).filter("doc_id % 3 <> 0").count() > 0
-    assert catalog.QUERIES["percentile_lower_all"](spark, FOLDER).count() == 1
-
-
 @pytest.mark.parametrize("name", ["randomised_group_split", "size_ordered_group_split", "session_group_split", "block_choice"])
 def test_searches_run_all_rounds(spark, monkeypatch, name):
     search, asked = splits.search_groups, []
