@@ -1,51 +1,36 @@
-"""What several operators share: durable intermediate tables and joins that stand a hot key."""
+"""What several operators share: bounded slices of Arrow batches and joins that stand a hot key."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import shared_folder, ship
+from ..functions.storage import discard as discard
+from ..functions.storage import new_path as new_path
+from ..functions.storage import ship as ship
+from ..functions.storage import stored as materialize  # noqa: F401
 
-#: Arrow batches hold at most this many rows, so that one batch of long texts stays small.
-ARROW_ROWS = 256
+#: Bytes of text that a worker holds as Python objects at once, unless one text alone has more. Spark bounds the batches
+#: it sends by bytes too (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
+SLICE_BYTES = 1 << 23
 #: A join broadcasts keys that more than 1/HOT_KEYS of the rows carry; there are at most HOT_KEYS of them.
 HOT_KEYS = 1000
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_folder(spark)}/granary-{label}-{uuid.uuid4().hex}"
-    atexit.register(remove_path, spark, path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder; a session that has ended leaves it to the cluster's own cleaning."""
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage is cut and it survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Make ready for operators that hand whole texts to Python: ship the package and bound Arrow batches by rows."""
-    ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def byte_slices(batches: Iterator[pa.RecordBatch], column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts (of a column by number) have at most so many bytes together."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def unit_draw(key: Column, seed: int) -> Column:

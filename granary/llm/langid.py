@@ -7,7 +7,7 @@ that is still small marks the answer as rejected.
 The sample is bounded: sample_docs rows of each language, those with the lowest hashes of their ids, and dictionary_bytes
 of their text. With the defaults that is all 256 texts where they are short, and about 96 where each has 1 KiB or more. Rows without text, language or id are no training rows. Everything else covers all rows and whole texts.
 Predicting: null texts and texts without a letter give `und` with score 0; ties go to the first language by name.
-Repeated rows stay. Without any training row every answer is `und`. Other columns are ignored.
+Very long texts are compressed whole, one at a time. Repeated rows stay. Without any training row every answer is `und`. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_arrow_batches, unit_draw
+from .common import byte_slices, ship, unit_draw
 
 SAMPLE_DOCS = 256
 DICTIONARY_BYTES = 96 * 1024
@@ -43,7 +43,7 @@ def learn(docs: DataFrame, training: Column, sample_docs: int = SAMPLE_DOCS, dic
     if not upto:
         return {}
     most = F.create_map(*[x for r in upto for x in (F.lit(r["lang"]), F.lit(r["upto"]))])
-    drawn = rows.filter(draw <= F.element_at(most, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    drawn = rows.filter(draw <= F.element_at(most, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.left(F.col(text_col), F.lit(dictionary_bytes)).alias("text"), draw.alias("draw"))
     sample = drawn.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).filter(F.col("_r") <= sample_docs)
     texts: dict[str, list[str]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["draw"], r["text"])):
@@ -59,7 +59,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], levels: tuple[int,
     smaller than the second by the share margin, or there is no answer. Leads under the share narrow at the first of
     levels are decided at the second.
     """
-    small_arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -70,7 +70,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], levels: tuple[int,
                 raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 raw.precompute_compress(level=level)
                 held.append((lang, zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             langs, scores, rejected = [], [], []
             for text in batch.column(1).to_pylist():
                 if not dictionaries or not text or not any(map(str.isalpha, text)):

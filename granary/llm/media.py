@@ -4,7 +4,9 @@ A resize averages each target cell over the source area it covers, edges weighte
 integral image. The difference hash compares neighbours of a 9 x 8 grey tile row by row, first bit highest.
 
 Null media give null columns. Bytes that are no image the reader knows, or are cut short, give nulls and the reason in
-column error; nothing is raised. Repeated rows stay. An empty table gives an empty result.
+column error; nothing is raised. Null ids are ids like others, repeated rows stay. A very long text is one image, which a
+worker holds with its integral image, eight bytes a sample. An empty table gives an empty result. Only the id and the
+media or text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import byte_slices, materialize, ship
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -132,10 +134,10 @@ def npy_tile(image: np.ndarray, side: int) -> bytes:
 
 def media_tiles(media: DataFrame, id_col: str = "media_id", media_col: str = "media", side: int = 32) -> DataFrame:
     """(id, height, width, planes, tile, dhash, error) of every row; tile: NPY bytes."""
-    small_arrow_batches(media.sparkSession)
+    ship(media.sparkSession)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             out = []
             for data in batch.column(1).to_pylist():
                 row: dict = {}
@@ -153,28 +155,45 @@ def media_tiles(media: DataFrame, id_col: str = "media_id", media_col: str = "me
     return media.select(id_col, F.col(media_col).cast("binary").alias("_media")).mapInArrow(look, f"`{id_col}` {kind}, height int, width int, planes int, tile binary, dhash string, error string")
 
 
-def text_media(docs: DataFrame, block: int = 576, width: int = 24, side: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as a grey image: its UTF-8 bytes, then bytes 255 up to a positive multiple of block.
-
-    Column media is the stored form. The other columns come from reading it back: the payload's size, digest and last
-    32 bytes' checksum, an NPY tile and the difference hash. Nulls count as empty texts.
-    """
-    small_arrow_batches(docs.sparkSession)
+def store_texts(docs: DataFrame, block: int = 576, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media) of every text as a grey image: its UTF-8 bytes, then bytes 255 up to a positive multiple of
+    block. The table is written to the shared folder, compressed. Nulls count as empty texts."""
+    ship(docs.sparkSession)
     if block % width:
         raise ValueError("a block must fill whole rows")
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, 1):
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            media = [encode_pgm(t + b"\xff" * (block * max(1, -(-len(t) // block)) - len(t)), width) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).mapInArrow(draw, f"id {kind}, n_bytes long, media binary")
+    return materialize(drawn, "media", compression="zstd")
+
+
+def read_media(stored: DataFrame, side: int = 32) -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media, tile, feature) of stored images (id, n_bytes, media).
+
+    The stored bytes are decoded: payload columns are of the samples, tail_crc32 of the last 32, tile is a side x side
+    tile in NPY form, feature the difference hash.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, 2):
             out = []
-            for data in batch.column(1).cast(pa.binary()).to_pylist():
-                data = data or b""
-                media = encode_pgm(data + b"\xff" * (block * max(1, -(-len(data) // block)) - len(data)), width)
+            for media in batch.column(2).to_pylist():
                 image = decode(media)
                 payload = image.tobytes()
-                out.append({"n_bytes": len(data), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media": media, "tile": npy_tile(image, side), "feature": difference_hash(image)})
-            found = pa.array(out, pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media", pa.binary()), ("tile", pa.binary()), ("feature", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found.flatten()], names=[id_col, *(f.name for f in found.type)])
+                out.append({"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "tile": npy_tile(image, side), "feature": difference_hash(image)})
+            found = pa.array(out, pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("tile", pa.binary()), ("feature", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found.flatten()], names=["id", "n_bytes", "media", *(f.name for f in found.type)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, tile binary, feature string"
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(store, schema)
+    kind = stored.schema["id"].dataType.simpleString()
+    return stored.mapInArrow(look, f"id {kind}, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, tile binary, feature string")
+
+
+def text_media(docs: DataFrame, block: int = 576, width: int = 24, side: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text stored as a grey image and read back: store_texts, then read_media."""
+    return read_media(store_texts(docs, block, width, id_col, text_col), side).withColumnRenamed("id", id_col)

@@ -5,16 +5,18 @@ piece lengths). A piece goes to the open bin that is best among those it fits un
 the largest weighted dot product of demand and residual, or the one with the smallest weighted residual norm.
 
 Tokenizing is a narrow pass that returns lengths and checksums only. Pieces that fill a sequence are placed there and
-then; the last pieces, one a document, are dealt by a hash of their key to groups of about GROUP pieces, and each group
-is packed in decreasing length by itself. A group ends with one bin that has room at most, which costs under a
-thousandth of the sequences.
+then; the last pieces, one a document, are dealt by a hash of their stored row number to groups of about GROUP pieces,
+however often a row repeats, and each group is packed in decreasing length by itself. A group ends with one bin that has
+room at most, which costs under a thousandth of the sequences.
 
 Nulls and empty texts give one piece with the end token. Null ids are ids like others. Repeated rows are packed each;
-ties are broken by id, then piece, then checksum. An empty table gives an empty result. Other columns are ignored.
+ties are broken by id, then piece, then checksum. Very long texts are tokenized whole, in one worker. An empty table
+gives an empty result. Other columns are ignored, and the id column may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,11 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_arrow_batches
+from .common import byte_slices, materialize, ship
 
 GROUP = 2500
-#: Words, and tokens, whose ids a worker remembers; the table then stays as it is, since frequent words come early.
-REMEMBERED = 600_000
+#: Words, and tokens, whose ids a worker remembers, and the characters up to which it does: so the tables have bounded
+#: bytes. A full table stays as it is, since frequent words come early.
+REMEMBERED, SHORT = 600_000, 64
+
+#: The normalizer and the split of a tokenizers file for which a text's ids are its words' ids.
+PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PLAIN_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 #: Characters on which lower-casing and composing are the identity or one to one, so words made of them need the
 #: library's merges only. Words with any other character go through the whole library.
@@ -49,10 +62,11 @@ def _byte_characters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes, for a tokenizers file that lower-cases and drops white space.
+    """Ids as little-endian unsigned 32-bit bytes.
 
-    White space ends every match of such a file's pattern, so a text's ids are its words' ids one after another, and
-    words met before are looked up. The added special tokens hold no white space, so they stay within a word.
+    A file with PLAIN_NORMALIZER and PLAIN_SPLIT lower-cases and drops white space. White space ends every match of its
+    pattern, so a text's ids are its words' ids one after another, and words met before are looked up. Its added tokens
+    must hold no white space, so they stay within a word. With any other file the library encodes texts whole.
     """
 
     def __init__(self, file: str):
@@ -62,6 +76,9 @@ class WordEncoder:
         self.full.no_padding()
         self.full.no_truncation()
         self.merges = self.full.model
+        parts = json.loads(self.full.to_str())
+        self.plain = parts["normalizer"] == PLAIN_NORMALIZER and parts["pre_tokenizer"] == PLAIN_SPLIT
+        self.plain = self.plain and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.marks = {s[0] for s in self.special}
         self.characters = _byte_characters()
@@ -71,7 +88,7 @@ class WordEncoder:
     def _token(self, token: str) -> bytes:
         shown = token if token.isascii() else token.encode().decode("latin-1").translate(self.characters)
         out = b"".join([t.id.to_bytes(4, "little") for t in self.merges.tokenize(shown)])
-        if len(self.tokens) < REMEMBERED:
+        if len(self.tokens) < REMEMBERED and len(token) <= SHORT:
             self.tokens[token] = out
         return out
 
@@ -81,12 +98,14 @@ class WordEncoder:
             out = b"".join([get(t) or self._token(t) for t in _TOKEN.findall(word.lower())])
         else:
             out = np.array(self.full.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) < REMEMBERED:
+        if len(self.words) < REMEMBERED and len(word) <= SHORT:
             self.words[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """The text's ids."""
+        if not self.plain:
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = [w for w in _ASCII_SPACE.split(text) if w] if _SPLITS_ALSO.search(text) else text.split()
         get = self.words.get
         return b"".join([get(w) or self._word(w) for w in words])
@@ -151,12 +170,12 @@ def best_fit(lengths: np.ndarray, cap: Capacities) -> tuple[np.ndarray, np.ndarr
 
 def pieces(docs: DataFrame, file: str, end_id: int, cap: Capacities, id_col: str, text_col: str) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's pieces; only documents over the capacity are cut."""
-    small_arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     end, step = end_id.to_bytes(4, "little"), 4 * cap.tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(file)
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = encoder.encode(text or "") + end
@@ -168,15 +187,15 @@ def pieces(docs: DataFrame, file: str, end_id: int, cap: Capacities, id_col: str
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
             ids_of = batch.column(0).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=[id_col, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([ids_of, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(cut, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack_group(cap: Capacities, id_col: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _pack_group(cap: Capacities) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", id_col, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        group = group.sort_values(["length", "_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = best_fit(group["length"].to_numpy(), cap)
         # A group's bins are numbered within 2^24 of their own, far over what GROUP pieces on average can open.
         return group.assign(sequence_id=(group["_group"].to_numpy() << 24) + bins, offset=offsets).drop(columns="_group")
@@ -185,14 +204,21 @@ def _pack_group(cap: Capacities, id_col: str) -> Callable[[pd.DataFrame], pd.Dat
 
 
 def pack_documents(docs: DataFrame, file: str, end_id: int = 1, cap: Capacities | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
+
+    An id column that is named like one of the results is returned with _id after its name.
+    """
     cap = cap or Capacities()
-    cut = materialize(pieces(docs, file, end_id, cap, id_col, text_col), "pieces")
+    # The row number is part of the stored table, so a task that runs again deals alike.
+    cut = pieces(docs, file, end_id, cap, id_col, text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    cut = materialize(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     full = (F.col("length") >= cap.tokens) | (F.col("length") * F.col("length") >= cap.attention)
     loose = cut.filter(~full)
     groups = max(1, -(-loose.count() // GROUP))
-    deal = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(groups)).cast("long")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in cut.schema)}, sequence_id long, offset long"
-    packed = loose.withColumn("_group", deal).groupBy("_group").applyInPandas(_pack_group(cap, id_col), schema)
-    alone = cut.filter(full).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return packed.unionByName(alone)
+    dealt = loose.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long")).drop("_row")
+    packed = dealt.groupBy("_group").applyInPandas(_pack_group(cap), f"{schema}, sequence_id long, offset long")
+    alone = cut.filter(full).drop("_row").withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    every = packed.unionByName(alone)
+    rest = [c for c in every.columns if c != "_id"]
+    return every.select(F.col("_id").alias(id_col), *rest) if id_col not in rest else every.withColumnRenamed("_id", f"{id_col}_id")

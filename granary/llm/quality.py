@@ -6,7 +6,8 @@ more than a share of its text is rejected. The base counts are those of the whol
 
 A null or empty text has no words; it fails the base rules and is not kept. Its cleaned text is empty. Lines without a
 word are neither judged nor counted as text. Repeated rows, null ids and ties need nothing special, as each row is
-judged by itself in a narrow pass. An empty table gives an empty result. Other columns are ignored.
+judged by itself in a narrow pass. Very long texts are judged whole; a task holds one at a time, with its words and
+lines as arrays. An empty table gives an empty result. Columns named like the results are replaced, others pass.
 """
 
 from __future__ import annotations
@@ -26,8 +27,19 @@ MOST_MARKS = 0.1
 #: A bar has this many separators between its words; a link label has so few words and no full stop.
 BAR = "(?:^|\\s)[|»›·•>](?:\\s|$)"
 BAR_SEPARATORS = 2
-LABEL = "(?i)^\\s*(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|read more|skip to content|share this|click here)\\s*$"
-NOTICE = "(?i)(?:all rights reserved|we use cookies|accept cookies|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|subscribe to our newsletter)"
+#: Labels of menus and notices that sites repeat, in English, German, French and Spanish.
+LABEL = (
+    "(?i)^\\s*(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|read more|skip to content|share this|click here"
+    "|startseite|anmelden|registrieren|suche|weiter|zurück|nach oben|mehr lesen|weiterlesen|teilen"
+    "|accueil|connexion|se connecter|inscription|rechercher|suivant|précédent|haut de page|lire la suite|partager"
+    "|inicio|iniciar sesión|registrarse|buscar|siguiente|anterior|volver arriba|leer más|compartir)\\s*$"
+)
+NOTICE = (
+    "(?i)(?:all rights reserved|we use cookies|accept cookies|cookie policy|privacy policy|terms of use|terms of service|enable javascript|lorem ipsum|subscribe to our newsletter"
+    "|alle rechte vorbehalten|wir verwenden cookies|datenschutzerklärung|nutzungsbedingungen|newsletter abonnieren"
+    "|tous droits réservés|nous utilisons des cookies|politique de confidentialité|conditions d'utilisation|abonnez-vous à notre"
+    "|todos los derechos reservados|utilizamos cookies|política de privacidad|condiciones de uso|suscríbete a nuestro)"
+)
 MOST_LOST = 0.3
 
 
@@ -46,7 +58,8 @@ def repeated_words(words: Column) -> Column:
 
     def count(ws: Column) -> Column:
         n = F.size(ws)
-        windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i")))
+        # Windows are sorted by hash; those with one hash stand together whatever their words, which then decide.
+        windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i")))
         return F.when(n < 4, F.lit(0)).otherwise(let(F.sort_array(windows), found))
 
     def found(s: Column) -> Column:
@@ -76,6 +89,12 @@ def line_fails(line: Column) -> Column:
     return punctuation | navigation | line.rlike(NOTICE)
 
 
+def judged_line(line: Column) -> Column:
+    """(line, full, fails): whether a line has a word, and whether it then fails a rule."""
+    full = line.rlike("[^\\x20\\x09-\\x0D]")
+    return F.struct(line.alias("line"), full.alias("full"), (full & line_fails(line)).alias("fails"))
+
+
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the base counts, the verdict and the cleaned text.
 
@@ -83,10 +102,11 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base_failed, kept (boolean), cleaned (string). Columns of docs with these names are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn("_text", text).withColumns({"_words": words_of(F.col("_text")), "_lines": F.split("_text", "\n", -1)})
-    full = F.filter("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    # Rows travel as one struct, so no column of theirs can clash. Each line is judged once: (line, has a word, fails).
+    split = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text.alias("_text"))
+    split = split.withColumns({"_words": words_of(F.col("_text")), "_lines": F.transform(F.split("_text", "\n", -1), judged_line)})
     solid = lambda x: F.length(F.regexp_replace(x, SPACE, ""))
-    marked = split.withColumn("_full", full).withColumn("_failed", F.filter("_full", line_fails))
+    marked = split.withColumns({"_full": F.transform(F.filter("_lines", lambda x: x["full"]), lambda x: x["line"]), "_failed": F.transform(F.filter("_lines", lambda x: x["fails"]), lambda x: x["line"])})
     counted = marked.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
@@ -97,9 +117,11 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "n_lines": F.size("_full").cast("long"),
             "n_failed_lines": F.size("_failed").cast("long"),
             "lost_chars": F.aggregate("_failed", F.lit(0).cast("long"), lambda a, x: a + solid(x)),
-            "cleaned": F.when(F.size("_failed") == 0, F.col("_text")).otherwise(F.array_join(F.filter("_lines", lambda x: ~(x.rlike("[^\\x20\\x09-\\x0D]") & line_fails(x))), "\n")),
+            "cleaned": F.when(F.size("_failed") == 0, F.col("_text")).otherwise(F.array_join(F.transform(F.filter("_lines", lambda x: ~x["fails"]), lambda x: x["line"]), "\n")),
         }
-    ).drop("_text", "_words", "_lines", "_full", "_failed")
+    )
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     verdict = F.col("lost_chars") <= MOST_LOST * F.col("word_chars")
-    return counted.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & verdict)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars", "cleaned"]
+    own = [F.col("_doc")[c].alias(c) for c in docs.columns if c not in (*added, "base_failed", "kept")]
+    return counted.select(*own, *added, base.alias("base_failed"), (~base & verdict).alias("kept"))

@@ -81,9 +81,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as grey images, read back and hashed."""
+    """All documents as grey images, stored, read back and hashed; tile_sha256 is of the NPY tile's bytes."""
     found = media.text_media(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

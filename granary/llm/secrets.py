@@ -8,8 +8,9 @@ with the expression itself. A rule without a mandatory trigram scans every text.
 Trigrams are taken from lower-cased text; folding can add candidates and lose none.
 
 Spans are leftmost and do not overlap within a kind; matches that fail a rule's length are dropped afterwards. Null
-texts count as empty. Repeated rows each get their spans; null ids are ids like others. An empty table gives an empty
-result. Columns of the table that are named like the results are replaced.
+texts count as empty. Repeated rows each get their spans; null ids are ids like others. Very long texts are searched
+whole; redacting one takes time in proportion to its length and its secrets. An empty table gives an empty result. A
+column of the table that is named found is replaced; no other name can clash.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chat import starts
-from .common import materialize
+from .common import attach, materialize
 
 #: Rows a block of postings has on average, and candidates up to which their list is broadcast.
 BLOCK = 2048
@@ -48,7 +49,7 @@ RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|[\r\nA-Za-z0-9+/=]*)", 0, 1),
     Rule("hosted_git", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
 )
@@ -202,28 +203,34 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     indexed = {k: q for k, q in queries.items() if q != ALL}
     trigrams = sorted({t for q in indexed.values() for term in q for t in term})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_row", _row_key(id_col, text))
+    # Rows travel as one struct, so no column of theirs can clash with those of the scan.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), text.alias("_text"), _row_key(id_col, text).alias("_row"))
     none = F.array().cast("array<string>")
     if not indexed:
-        marked = rows.withColumn("_kinds", none)
+        held = rows.withColumn("_kinds", none)
     else:
         total = docs.count()
-        table = materialize(candidates(rows.select(F.col("_row").alias("row"), F.lower(text).alias("low")), indexed, trigrams, total), "candidates")
-        table = table.select(F.col("row").alias("_met"), F.col("kinds").alias("_kinds"))
+        table = materialize(candidates(rows.select(F.col("_row").alias("row"), F.lower("_text").alias("low")), indexed, trigrams, total), "candidates")
         if table.count() <= BROADCAST_ROWS:
-            marked = rows.join(F.broadcast(table), F.col("_row") == F.col("_met"), "left").drop("_met")
+            found = F.broadcast(table.select(F.col("row").alias("_met"), F.col("kinds").alias("_kinds")))
+            held = rows.join(found, F.col("_row") == F.col("_met"), "left").drop("_met")
         else:
-            # Only rows with a trigram of the index can be candidates; the others go round the shuffle.
-            some = F.size(_present(F.lower(text), trigrams)) > 0
-            near = rows.filter(some).join(table, F.col("_row") == F.col("_met"), "left").drop("_met")
-            marked = near.unionByName(rows.filter(~some).withColumn("_kinds", F.lit(None).cast("array<string>")))
-    held = marked.withColumns({"_kinds": F.coalesce("_kinds", none), "_text": text})
+            # Only rows with a trigram of the index can be candidates; the others go round the shuffle. A row that is
+            # repeated often is dealt by attach, which wants to know how often.
+            some = F.size(_present(F.lower("_text"), trigrams)) > 0
+            often = rows.filter(some).groupBy(F.col("_row").alias("row")).agg(F.count("*").alias("rows"))
+            known = materialize(table.join(often, "row").select(F.col("row").alias("_row"), F.col("kinds").alias("_kinds"), "rows"), "candidates-counted")
+            near = attach(rows.filter(some).withColumn("_spread", F.monotonically_increasing_id()), known, ["_row"], ["_kinds"], "rows", total, "_spread").drop("_spread")
+            held = near.unionByName(rows.filter(~some).withColumn("_kinds", F.lit(None).cast("array<string>")))
+    held = held.withColumn("_kinds", F.coalesce("_kinds", none))
     kind = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
     each = []
     for order, rule in enumerate(rules):
         spans = spans_of(F.col("_text"), rule, order)
         each.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(F.array().cast(kind)) if rule.kind in indexed else spans)
-    return held.withColumn("found", F.sort_array(F.concat(*each))).drop("_row", "_kinds", "_text")
+    own = [F.col("_doc")[c].alias(c) for c in docs.columns if c != "found"]
+    # Spans come first in a step of their own: within one, names in lambdas could mean the columns that are given back.
+    return held.withColumn("_found", F.sort_array(F.concat(*each))).select(*own, F.col("_found").alias("found"))
 
 
 def as_text(spans: Column) -> Column:
@@ -231,12 +238,33 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(scanned: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """scanned with every found secret replaced by [REDACTED:kind]; texts without one stay as they are."""
-    out = F.col(text_col)
-    for rule in rules:
-        pattern = _bounded(rule)
-        if rule.group:
-            pattern = pattern.removesuffix("+)") + f"{{{rule.least},}})"
-        out = F.when(F.exists("found", lambda s: s["kind"] == rule.kind), F.regexp_replace(out, pattern, f"[REDACTED:{rule.kind}]")).otherwise(out)
-    return scanned.withColumn(text_col, out)
+def merged(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one, which has the kind of the first."""
+    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
+
+    def add(held: Column, s: Column) -> Column:
+        last = F.element_at(held, -1)
+        new = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(F.size(held) == 0, F.array(new)).when(s["start"] > last["end"], F.concat(held, F.array(new))).otherwise(F.concat(F.slice(held, F.lit(1), F.size(held) - 1), F.array(joined)))
+
+    return F.aggregate(spans, F.array().cast(kind), lambda held, s: add(held, s).cast(kind))
+
+
+def redact(scanned: DataFrame, text_col: str = "text") -> DataFrame:
+    """scanned with just the found spans replaced, by [REDACTED:kind]; texts without one stay as they are.
+
+    Spans of several kinds that overlap or touch are replaced as one, under the kind of the first.
+    """
+    text = F.col(f"`{text_col}`")
+
+    def rebuilt(held: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(held, i - 1)["end"])
+            return F.concat(F.substring(text, begin + 1, s["start"] - begin), F.lit("[REDACTED:"), s["kind"], F.lit("]"))
+
+        rest = F.substring(text, F.element_at(held, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(held, part), ""), rest)
+
+    clean = F.transform(F.array(merged(F.col("found"))), rebuilt)[0]
+    return scanned.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text))

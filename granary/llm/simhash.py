@@ -1,7 +1,7 @@
-"""SimHash near-duplicate classes by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-A fingerprint has 64 bits. Two that differ in at most three differ in at most one, half the radius, in one of their
-32-bit halves. So every fingerprint emits each half and the 32 variants one bit away, 66 rows; the variants are
+classes: a fingerprint has 64 bits. Two that differ in at most three differ in at most one, half the radius, in one of
+their 32-bit halves. So every fingerprint emits each half and the 32 variants one bit away, 66 rows; the variants are
 shuffled, those that meet another fingerprint's own half are candidates, and the whole fingerprints verify them.
 
 A half that more than CROWD fingerprints share would make too many pairs. Fingerprints that emit into such a crowded
@@ -9,44 +9,67 @@ bucket take the whole ball instead: all 64-bit points one bit (near) or two bits
 exactly if they meet at a point where one is near, so a bucket's members are linked to one near member of it and no
 pairs are made. A point has at most 2081 fingerprints around it, so a bucket is bounded whatever the data.
 
-Equal fingerprints are one vertex. Components come from alternating large-star and small-star rounds over tables in
-the shared folder; nothing but counts and checksums reaches the driver.
+Equal fingerprints are one vertex, whatever ids carry it. Components come from star rounds over tables in the shared
+folder; nothing but counts and checksums reaches the driver.
+
+deduplicate: texts that share a share of their distinct shingles (five words and 0.8) differ in about a seventh of the
+bits, far beyond any ball over a whole fingerprint. Their fingerprints are longer and cut into tables; in each table a
+text emits its bits and all variants one bit away, so two meet where they differ in at most two bits of a table, as most
+such pairs do in one of the tables. What meets is verified by 256 bits, which makes candidate groups, and within a group
+by the shingles themselves. See find_leaders.
 
 Null and empty texts, and texts without a word, have fingerprint zero and are linked like others. Rows with a null id
-get their class's component_id, which is null if no row of the class has an id. Repeated rows stay and share a class.
-An empty table gives an empty result. Other columns are ignored.
+get their class's component_id, which is null if no row of the class has an id; deduplicate keeps them all. Repeated
+rows stay in classes and share one. Long texts are taken whole, in slices of hashes. An empty table gives an empty
+result. Other columns are ignored by classes; deduplicate returns them, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, materialize, small_arrow_batches
+from ..operators.graph import connected_components
+from .common import attach, byte_slices, discard, materialize, ship
 
 RADIUS = 3
 CROWD = 128
 _HASHES_AT_ONCE = 1 << 15
-_SALTS = 16
+
+#: A table has at least LEAST_BITS bits, and SPARE_BITS more than number the texts, so that chance meetings stay as rare
+#: at any size; tables are added until a pair at the least similarity is missed with at most the chance MISS.
+LEAST_BITS, SPARE_BITS, MISS = 24, 6, 0.04
+#: Of the 256 bits that verify a meeting texts at a similarity of 0.8 differ in 39 on average, unrelated ones in 128.
+VERIFY_BITS = 60
+#: Rows of a candidate group that one task compares, and leaders that a round takes from a larger group, at first.
+GROUP_ROWS, ROUND_LEADERS = 512, 64
+
+
+def shingles_of(data: bytes, shingle: int) -> tuple[Iterator[bytes], int]:
+    """All shingles of a text's UTF-8 bytes, A-Z folded, and their number: the whole sequence where there are fewer words,
+    none without a word."""
+    words = data.lower().split()
+    if not words:
+        return iter(()), 0
+    if len(words) < shingle:
+        return iter((b" ".join(words),)), 1
+    return map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)), len(words) - shingle + 1
 
 
 def fingerprint(data: bytes, shingle: int, seed: int) -> int:
     """The unsigned fingerprint of a text's UTF-8 bytes."""
     import xxhash
 
-    words = data.lower().split()
-    n = len(words) - shingle + 1
-    if not words:
+    shingles, n = shingles_of(data, shingle)
+    if not n:
         return 0
-    if n < 1:
-        shingles, n = [b" ".join(words)], 1
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     hashes, counts, done = map(lambda s: xxhash.xxh64_intdigest(s, seed), shingles), np.zeros(64, np.int64), 0
     while done < n:
         m = min(_HASHES_AT_ONCE, n - done)
@@ -58,10 +81,10 @@ def fingerprint(data: bytes, shingle: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp holds the fingerprint's bits as a signed number."""
-    small_arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in byte_slices(batches, 1):
             found = np.fromiter((fingerprint(t or b"", shingle, seed) for t in batch.column(1).cast(pa.binary()).to_pylist()), "<u8", batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view("<i8"), pa.int64())], names=[id_col, "fp"])
 
@@ -69,104 +92,245 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(compute, f"`{id_col}` {kind}, fp long")
 
 
-def _differ(a: str, b: str) -> F.Column:
+def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def links(vertices: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of linked vertices, enough of them to connect all that are at most RADIUS bits apart.
+    """(a, b) of linked fingerprints, enough of them to connect all that are at most RADIUS bits apart.
 
-    vertices: a materialized table (fp, node), one row a fingerprint.
+    vertices: a materialized table (fp), one row a fingerprint.
     """
     whole = F.lit(0xFFFFFFFF).cast("long")
     half = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("half"), v.alias("value")) for k, v in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(whole)))]))
-    halves = vertices.filter("node is not null").select("fp", "node", half.alias("h")).select("fp", "node", (F.shiftleft("h.half", 32).bitwiseOR(F.col("h.value"))).alias("key"))
+    halves = vertices.select("fp", half.alias("h")).select("fp", (F.shiftleft("h.half", 32).bitwiseOR(F.col("h.value"))).alias("key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
-    ball = halves.select("fp", "node", "key", F.explode(flips).alias("flip")).select("fp", "node", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    ball = halves.select("fp", "key", F.explode(flips).alias("flip")).select("fp", F.col("key").bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
     crowded = materialize(halves.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > crowd).withColumn("crowded", F.lit(True)), "crowded")
     if crowded.isEmpty():
         return _verified(ball, halves)
     total = 33 * 2 * vertices.count()
     marked = attach(ball, crowded, ["key"], ["crowded"], "rows", total, "fp")
     calm = marked.filter("crowded is null").drop("crowded")
-    dense = marked.filter("crowded").select("fp", "node").distinct()
-    return _verified(calm, calm.filter("own").select("fp", "node", "key")).unionByName(full_ball_links(dense))
+    dense = marked.filter("crowded").select("fp").distinct()
+    return _verified(calm, calm.filter("own").select("fp", "key")).unionByName(full_ball_links(dense))
 
 
 def _verified(ball: DataFrame, own: DataFrame) -> DataFrame:
-    other = own.select(F.col("fp").alias("fp_b"), F.col("node").alias("b"), F.col("key").alias("key_b"))
+    other = own.select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
     # Sizes are estimated before rows are exploded, so a side could be taken for small and broadcast: the hint forbids it.
-    met = ball.select("fp", F.col("node").alias("a"), "key").join(other.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("fp") < F.col("fp_b")) & (_differ("fp", "fp_b") <= RADIUS))
+    met = ball.select(F.col("fp").alias("a"), "key").join(other.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & (_differ("a", "b") <= RADIUS))
     return met.select("a", "b")
 
 
 def full_ball_links(vertices: DataFrame) -> DataFrame:
-    """(a, b): every vertex linked to a vertex that is near a point around both."""
+    """(a, b): every fingerprint linked to one that is near a point around both, which each has 2081 of."""
     bits = [1 << i for i in range(64)]
     signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
     ones = F.array(*[signed(b) for b in bits])
     # The second bit is the one after the first or later: pairs (i, j) with j > i come from shifting within the word.
-    near = vertices.select("node", "fp", F.explode(F.concat(F.array(signed(0)), ones)).alias("flip")).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), F.lit(True).alias("near"))
-    first = vertices.select("node", "fp", F.posexplode(ones).alias("i", "one"))
-    far = first.select("node", F.col("fp").bitwiseXOR(F.col("one")).alias("fp"), F.explode(F.slice(ones, F.col("i") + 2, F.lit(64))).alias("two")).select("node", F.col("fp").bitwiseXOR(F.col("two")).alias("point"), F.lit(False).alias("near"))
-    met = near.unionByName(far).groupBy("point").agg(F.min(F.when(F.col("near"), F.col("node"))).alias("b"), F.collect_set("node").alias("members"))
+    near = vertices.select("fp", F.explode(F.concat(F.array(signed(0)), ones)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"), F.lit(True).alias("near"))
+    first = vertices.select("fp", F.posexplode(ones).alias("i", "one"))
+    far = first.select("fp", F.col("fp").bitwiseXOR(F.col("one")).alias("x"), F.explode(F.slice(ones, F.col("i") + 2, F.lit(64))).alias("two")).select("fp", F.col("x").bitwiseXOR(F.col("two")).alias("point"), F.lit(False).alias("near"))
+    met = near.unionByName(far).groupBy("point").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("b"), F.collect_set("fp").alias("members"))
     return met.filter((F.size("members") > 1) & F.col("b").isNotNull()).select(F.explode("members").alias("a"), "b").filter("a <> b").distinct()
 
 
-def _star(edges: DataFrame, by: str) -> DataFrame:
-    """edges (hi, lo) with m: the least neighbour of column by, of all its neighbours for lo, of its lower ones for hi."""
-    if by == "lo":
-        seen = edges.select(F.col("lo").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        spread = "hi"
-    else:
-        seen, spread = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")), "lo"
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("_s", F.explode(F.array(*[F.lit(k) for k in range(_SALTS)])))
-    salted = edges.withColumn("_t", F.pmod(F.xxhash64(spread), F.lit(_SALTS)).cast("int"))
-    return salted.join(least.hint("merge"), (F.col(by) == F.col("u")) & (F.col("_t") == F.col("_s"))).select("hi", "lo", "m")
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of edges (a, b); component is the least node that is reachable."""
-
-    def ordered(a: str, b: str, df: DataFrame) -> DataFrame:
-        return df.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-
-    now = materialize(ordered("a", "b", edges), "edges")
-    before = state(now)
-    for _ in range(most_rounds if before[0] else 0):
-        large = ordered("hi", "m", _star(now, "lo"))
-        small = _star(large, "hi")
-        now = materialize(ordered("x", "m", small.select(F.explode(F.array("hi", "lo")).alias("x"), "m")), "edges")
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = now.select(F.col("lo").alias("node")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-
-
 def classes(docs: DataFrame, shingle: int = 3, seed: int = 42, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row."""
     rows = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    vertices = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("node"), F.count("*").alias("rows")), "vertices")
-    linked = components(links(vertices, crowd))
-    named = vertices.join(linked.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id"))
+    vertices = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")), "vertices")
+    found = connected_components(links(vertices.select("fp"), crowd))
+    rooted = vertices.join(found, F.col("fp") == F.col("item"), "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    named = attach(rooted, roots, ["root"], ["component_id"], "n", vertices.count(), "fp").select("fp", "rows", "component_id")
     return attach(rows, materialize(named, "classes"), ["fp"], ["component_id"], "rows", rows.count(), id_col)
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without all but one of each class: the one with the smallest id.
+def differing_share(similarity: float) -> float:
+    """The share of bits in which two texts differ on average, by the share of their shingles that they have in common."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables_for(rows: int, similarity: float) -> tuple[int, int]:
+    """(bits, tables): the bits grow with the logarithm of the rows, and the tables as that makes a meeting rarer."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 2))) + SPARE_BITS)
+    p = differing_share(similarity)
+    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th series of numbers from hashes, each well spread over 64 bits."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(data: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles_of(data, shingle)[0]), "<u8"))
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """So many 64-bit words; a bit is one if it is set in over half of the hashes' numbers of its word."""
+    counts = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        part = hashes[at : at + _HASHES_AT_ONCE]
+        for k in range(words):
+            counts[k] += np.unpackbits(_mixed(part, k).view(np.uint8), bitorder="little").reshape(len(part), 64).sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > len(hashes)).reshape(-1), bitorder="little").view("<i8")
+
+
+def signatures(docs: DataFrame, shingle: int, bits: int, tables: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, sig, f0..f3, keys) of every row: mark and sig are digests of the text and of its set of shingles, f the
+    256 bits that verify, keys the bits of each table under the table's number."""
+    ship(docs.sparkSession)
+    words = max(4, -(-bits * tables // 64))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in byte_slices(batches, 2):
+            sigs, longs, keys = [], [], []
+            for text in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_set(text or b"", shingle)
+                print_ = long_fingerprint(hashes, words)
+                sigs.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                longs.append(print_[:4])
+                bit = np.unpackbits(print_.view(np.uint8), bitorder="little")[: bits * tables].reshape(tables, bits)
+                keys.append(bit @ powers + (np.arange(tables) << bits))
+            four = np.stack(longs)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(np.concatenate(keys)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), *(pa.array(four[:, k]) for k in range(4)), flat], names=["id", "mark", "sig", "f0", "f1", "f2", "f3", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(compute, f"id {kind}, mark long, sig binary, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
-    Of rows that repeat the kept id one stays. Rows with a null id can't be told apart and all stay.
+
+def _mark(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def candidate_links(vertices: DataFrame, bits: int) -> DataFrame:
+    """(a, b): texts that meet in a table and differ in at most VERIFY_BITS of the 256 bits.
+
+    Every member of a bucket is held against the bucket's first one and, where they differ, against the three before it.
+    So a bucket gives no more links than thrice its members. They make groups of candidates, in which all that is asked
+    later is asked of the shingles.
+    """
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
+    points = vertices.select("node", "f0", "f1", "f2", "f3", F.explode("keys").alias("key"))
+    points = points.select("node", "f0", "f1", "f2", "f3", "key", F.explode(flips).alias("flip")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("point"), F.struct("node", "f0", "f1", "f2", "f3").alias("v"))
+    order = Window.partitionBy("point").orderBy("v.node")
+    seen = points.select("v", F.first("v").over(order).alias("head"), *[F.lag("v", k).over(order).alias(f"v{k}") for k in (1, 2, 3)]).filter("v1 IS NOT NULL")
+    apart = lambda o: sum((F.bit_count(F.col("v")[f].bitwiseXOR(o[f])) for f in ("f0", "f1", "f2", "f3")), F.lit(0)) <= VERIFY_BITS
+    near = F.filter(F.array("v1", "v2", "v3"), lambda o: o.isNotNull() & apart(o))
+    met = F.when(apart(F.col("head")), F.array("head")).otherwise(near)
+    return seen.select(F.col("v.node").alias("b"), F.explode(met).alias("o")).select(F.col("o.node").alias("a"), "b").distinct()
+
+
+def _settle(shingle: int, least: float):  # noqa: ANN202
+    """A function over rows (grp, block, role, grows, node, text), sorted, that names each text's leader.
+
+    Within a group and block texts come in order. A text follows the first leader with which it shares enough shingles;
+    one without becomes a leader itself if it may (role 0, or a group that is held whole), else it has none yet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaders, index = None, [], {}
+        for batch in byte_slices(batches, 5):
+            groups, nodes, names = [], [], []
+            for grp, block, role, grows, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, block) != at:
+                    at, leaders, index = (grp, block), [], {}
+                hashes = shingle_set((text or "").encode(), shingle)
+                own = frozenset(hashes.tolist())
+                # In any one order of shingles two sets that share enough share one of their first ones.
+                head = hashes[: len(hashes) - math.ceil(least * len(hashes)) + 1].tolist()
+                near = sorted({k for h in head for k in index.get(h, ())})
+                found = next((k for k in near if len(own & leaders[k][1]) >= least * len(own | leaders[k][1])), None)
+                if found is None and (role == 0 or grows):
+                    found = len(leaders)
+                    leaders.append((node, own))
+                    for h in head:
+                        index.setdefault(h, []).append(found)
+                if role == 1 or block == 0:
+                    groups.append(grp)
+                    nodes.append(node)
+                    names.append(None if found is None else leaders[found][0])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (groups, nodes, names)], names=["grp", "node", "leader"])
+
+    return run
+
+
+def _rows_once(docs: DataFrame, wanted: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    """(row, and the columns of wanted) of the rows of docs that wanted (id, mark, copies, ..) names by id and text; of
+    rows that repeat both there is one."""
+    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_row_id"), _mark(text_col).alias("_row_mark"))
+    met = rows.join(wanted, (F.col("_row_id") == F.col("id")) & (F.col("_row_mark") == F.col("mark"))).drop("_row_id", "_row_mark")
+    again = met.filter("copies > 1").groupBy(*wanted.columns).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return met.filter("copies = 1").unionByName(again)
+
+
+def find_leaders(docs: DataFrame, vertices: DataFrame, bits: int, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, leader) of the texts that follow another one: leader is a text that follows none, comes before it, and has
+    at least the share of shingles in common with it.
+
+    Texts come in the order of their least ids. A candidate group of up to GROUP_ROWS texts is held by one task. Of a
+    larger one every task holds a block and the group's first ROUND_LEADERS open texts; those that follow none of these
+    are open in the next round, which takes twice as many leaders, until no text is open.
+    """
+    groups = connected_components(candidate_links(vertices, bits))
+    members = vertices.join(groups, F.col("node") == F.col("item")).select(F.col("component").alias("grp"), "node", "first.*")
+    base = materialize(_rows_once(docs, members, F.col(text_col), id_col, text_col).drop("copies"), "candidates")
+    schema, tables, pending, leaders = "grp long, node long, leader long", [], base, ROUND_LEADERS
+    while not pending.isEmpty():
+        sizes = pending.groupBy("grp").agg(F.count("*").alias("size"))
+        order = ["id", "mark", "node"]
+        blocks = F.greatest(F.ceil(F.col("size") / GROUP_ROWS), F.lit(1)).cast("int")
+        sized = pending.join(sizes, "grp").withColumns({"grows": F.col("size") <= GROUP_ROWS, "blocks": blocks})
+        first = pending.select("grp", *order).join(sizes.filter(F.col("size") > GROUP_ROWS), "grp")
+        first = first.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("_r") <= leaders).select(F.col("node").alias("_first"))
+        marked = sized.join(first, F.col("node") == F.col("_first"), "left")
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        own = F.array(F.when(F.col("grows"), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
+        placed = marked.withColumn("role", F.col("_first").isNull().cast("int")).withColumn("block", F.explode(F.when(F.col("role") == 0, every).otherwise(own)))
+        dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", *order).select("grp", "block", "role", "grows", "node", F.col("_row").alias("_text"))
+        named = materialize(dealt.mapInArrow(_settle(shingle, least), schema), "leaders")
+        tables.append(named.filter("leader IS NOT NULL AND leader <> node").select("node", "leader"))
+        pending = base.join(named.filter("leader IS NULL").select(F.col("node").alias("_open")), F.col("node") == F.col("_open"), "left_semi")
+        leaders = min(2 * leaders, GROUP_ROWS)
+    return reduce(DataFrame.unionByName, tables) if tables else docs.sparkSession.createDataFrame([], "node long, leader long")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near copies of a row that stays: those with at least that share of distinct shingles.
+
+    Of texts with the same shingles that with the least id stays at most, and one of rows that repeat its id and text.
+    Rows with a null id can't be told apart and all stay.
     """
-    found = classes(docs.select(id_col, text_col), shingle, seed, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    once = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*docs.columns))
-    return named.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1").drop("_copy").unionByName(docs.filter(F.col(id_col).isNull()))
+    known = docs.filter(F.col(id_col).isNotNull())
+    bits, tables = tables_for(known.count(), least)
+    own = ["f0", "f1", "f2", "f3", "keys"]
+    rows = signatures(known, shingle, bits, tables, id_col, text_col).groupBy("id", "mark", "sig", *own).agg(F.count("*").alias("copies"))
+    rows = materialize(rows, "signatures")
+    vertices = rows.groupBy("sig", *own).agg(F.min(F.struct("id", "mark", "copies")).alias("first"))
+    vertices = materialize(vertices.withColumn("node", F.monotonically_increasing_id()), "texts")
+    following = find_leaders(known, vertices, bits, shingle, least, id_col, text_col).select(F.col("node").alias("_n"))
+    stay = vertices.join(following, F.col("node") == F.col("_n"), "left_anti").select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_of"), F.lit(True).alias("stays"))
+    # Only what goes, and what stays once of several, is named; the rest passes. Rows travel as one struct, so no column
+    # of theirs can clash with those of the join.
+    named = rows.select("id", "mark", "copies").join(stay, (F.col("id") == F.col("_id")) & (F.col("mark") == F.col("_of")), "left").filter("stays IS NULL OR copies > 1")
+    named = materialize(named.select("id", "mark", "copies", "stays"), "named")
+    discard(rows)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    passed = known.select(whole.alias("_row"), F.col(id_col).alias("_row_id"), _mark(text_col).alias("_row_mark")).join(named, (F.col("_row_id") == F.col("id")) & (F.col("_row_mark") == F.col("mark")), "left_anti").select("_row")
+    again = _rows_once(known, named.filter("stays").drop("stays"), whole, id_col, text_col).select("_row")
+    return passed.unionByName(again).select("_row.*").unionByName(docs.filter(F.col(id_col).isNull()))

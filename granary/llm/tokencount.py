@@ -2,7 +2,8 @@
 
 A text is split at safe boundaries into chunks, each the spaces before a word and the word. No piece of the
 vocabulary has a space behind another character, so no merge crosses such a boundary and the chunks' lengths add up
-to the text's. Chunks not met before are encoded in batches bounded by bytes; a bounded table remembers lengths.
+to the text's. Chunks not met before are encoded in batches bounded by bytes; a bounded table remembers those of short
+chunks. A text without spaces has no such boundary, as merges may cross any other place, and is one chunk.
 
 Nulls count as empty. Rows are neither merged nor dropped: repeated rows and null ids give a row each. An empty table
 gives an empty result. Other columns are ignored.
@@ -18,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches
+from .common import byte_slices, ship
 
 #: Bytes of text that one call of the library encodes, and lengths that a worker remembers.
 BATCH_BYTES = 1 << 20
 REMEMBERED = 400_000
+#: Characters up to which a chunk's length is remembered, so that the table has bounded bytes, not only entries.
+SHORT = 64
 
 _WORD_MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
@@ -64,6 +67,7 @@ class PieceCounter:
         parts: list[list[str] | None] = []
         whole: list[str] = []
         fresh: dict[str, None] = {}
+        once: dict[str, int] = {}
         if len(self.lengths) > REMEMBERED:
             self.lengths = {}
         known = self.lengths
@@ -78,11 +82,12 @@ class PieceCounter:
                 parts.append(chunks)
                 fresh.update((c, None) for c in chunks if c not in known)
         new = list(fresh)
-        known.update(zip(new, self._lengths(new), strict=True))
+        for chunk, n in zip(new, self._lengths(new), strict=True):
+            (known if len(chunk) <= SHORT else once)[chunk] = n
         if "" in known:
             known[""] = 1  # a last space alone is a token of its own
         rest = self._lengths(whole)
-        get = known.__getitem__
+        get = lambda c: known[c] if len(c) <= SHORT else once[c]
         return [next(rest) if p is None else sum(map(get, p)) for p in parts]
 
 
@@ -110,11 +115,11 @@ def counter(file: str) -> PieceCounter | JsonCounter:
 
 def token_counts(docs: DataFrame, file: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row; over_limit: more than limit tokens."""
-    small_arrow_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(file)
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count.count(batch.column(2).to_pylist()), pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, new_path, small_arrow_batches
+from .common import attach, byte_slices, materialize, new_path, ship
 
 BLOCK = 1 << 16
 #: Fixed values of the WARC 1.1 standard.
@@ -118,7 +118,7 @@ def decide(pages: DataFrame, least_bytes: int, id_col: str, payload_col: str) ->
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record of every row; returns the table of archives (archive, records, bytes)."""
-    small_arrow_batches(pages.sparkSession)
+    ship(pages.sparkSession)
     base = as_uri(folder)
     names = {"id": id_col, "uri": uri_col, "payload": payload_col}
     rows = decide(pages.select(*[F.col(v).alias(f"_{k}") for k, v in names.items()]), least_bytes, "_id", "_payload")
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
         store.create_dir(path, recursive=True)
         own, records, size = f"{path}/.{name}.{uuid.uuid4().hex}", 0, 0
         out = None
-        for batch in batches:
+        for batch in byte_slices(batches, 2):
             for r in batch.to_pylist():
                 out = out or store.open_output_stream(own, compression=None)
                 kind = "response" if r["_refers"] is None else "revisit"

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import random
 import re
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -17,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granary.llm import chat, common, langid, media, mixing, packing, quality, queries, secrets, simhash, tokencount, warc
+from granary.operators import graph
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,11 +96,42 @@ def test_secret_spans(spark):
     assert len(got) == 307
     for r in got:
         assert r["spans"] == ",".join(brute_spans(r["text"]))
-    for r in secrets.redact(scanned).select("text").collect():
-        assert brute_spans(r["text"]) == []
+    for r, old in zip(secrets.redact(scanned).select("doc_id", "text").collect(), scanned.collect(), strict=True):
+        assert (r["text"] or "") == brute_redaction(old["text"], old["found"]) and brute_spans(r["text"]) == []
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def brute_redaction(text, found):
+    """The text with the found spans cut out from the last to the first, those that meet as one."""
+    text, runs = text or "", []
+    for f in sorted(found):
+        if runs and f["start"] <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], f["end"])
+        else:
+            runs.append([f["start"], f["end"], f["kind"]])
+    for start, end, kind in reversed(runs):
+        text = text[:start] + f"[REDACTED:{kind}]" + text[end:]
+    return text
+
+
+def test_redaction_of_keys_and_of_found_spans_only(spark):
+    body = "MIIEpAIBAAKCAQEA7\nq3+/abcDEF==\n"
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    texts = {
+        1: (f"a {key} b", "a [REDACTED:private_key] b"),
+        2: ("x -----BEGIN PRIVATE KEY-----\nMIIEpAIB\nq3 and more", "x [REDACTED:private_key] and more"),
+        3: ("secret: token: abcdefgh and password=hunter22", "secret: token: abcdefgh and [REDACTED:assign]"),
+        4: ("token=0123456789abcdef01234567", "[REDACTED:assign]"),
+        5: (f"{key}{key}", "[REDACTED:private_key]"),
+    }
+    docs = spark.createDataFrame([(k, a) for k, (a, _) in texts.items()], "doc_id long, text string")
+    for name in ("_met", "_kinds", "_row", "_doc", "_text", "row", "_spread"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = secrets.redact(secrets.scan(docs))
+    assert got.columns == [*docs.columns, "found"] and {r["doc_id"]: r["text"] for r in got.collect()} == {k: b for k, (_, b) in texts.items()}
+    assert {r["_met"] for r in got.collect()} == {"_met"}
+
+
 def test_secret_scan_beyond_broadcast(spark, monkeypatch):
     docs = odd_docs(spark, [(100 + k, f"my token = abcdef{k}" if k % 3 else "nothing here", "en", "s", 1) for k in range(40)])
     want = sorted((str(r["doc_id"]), len(r["found"])) for r in secrets.scan(docs).collect())
@@ -177,6 +211,58 @@ def test_best_fit_holds_every_capacity(score):
         assert sorted(offsets[bins == b]) == list(np.r_[0, np.cumsum(mine)[:-1]])
 
 
+def plain_vector_best_fit(lengths, cap):
+    """Each piece to the open bin with the least weighted norm of what would be left, among those it fits; else a new one."""
+    caps, bins, out = (cap.tokens, cap.documents, cap.attention), [], []
+    for n in lengths:
+        need = (n, 1, n * n)
+        scored = []
+        for k, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need, strict=True)):
+                if cap.score == "norm":
+                    scored.append((sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(cap.weights, left, need, caps, strict=True)), k))
+                else:
+                    scored.append((-sum(w * x * y / c**2 for w, x, y, c in zip(cap.weights, left, need, caps, strict=True)), k))
+        if not scored:
+            bins.append(caps)
+        # Values that differ only by rounding are ties, which go to the bin opened first.
+        at = min((k for v, k in scored if v <= min(scored)[0] + 1e-12), default=len(bins) - 1)
+        bins[at] = tuple(x - y for x, y in zip(bins[at], need, strict=True))
+        out.append(at)
+    return out
+
+
+@pytest.mark.parametrize("cap", [packing.Capacities(100, 4, 6000), packing.Capacities(100, 9, 10_000, (1.0, 0.5, 0.5), "dot"), packing.Capacities(64, 64, 64 * 64)])
+def test_best_fit_equals_plain_one(cap):
+    rng = random.Random(4)
+    lengths = sorted((rng.randint(1, 70) for _ in range(300)), reverse=True)
+    lengths = [n for n in lengths if n <= cap.tokens and n * n <= cap.attention]
+    bins, _ = packing.best_fit(np.array(lengths), cap)
+    assert bins.tolist() == plain_vector_best_fit(lengths, cap)
+
+
+def test_packing_of_repeated_rows_and_names(spark, monkeypatch):
+    file = queries.tokenizer_path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "GROUP", 50)
+    docs = spark.createDataFrame([(None, "one two three")] * 400, "length long, text string")
+    got = packing.pack_documents(docs, file, 1, packing.Capacities(64, 64, 4096), id_col="length")
+    sizes = [r["count"] for r in got.groupBy(F.shiftright("sequence_id", 24)).count().collect()]
+    # 400 rows that are all alike still go to eight groups.
+    assert got.count() == 400 and "length_id" in got.columns and len(sizes) == 8 and max(sizes) < 90
+
+
+def test_word_encoder_asks_the_file():
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        file = queries.tokenizer_path(name)
+        own, library = packing.WordEncoder(file), Tokenizer.from_file(file)
+        assert own.plain == (name == "word_bpe_49k.json")
+        for text in ("Hello  World's end", "a\n b", "<|endoftext|>x", "w" * 500 + " z", ""):
+            assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert all(len(w) <= packing.SHORT for w in own.words)
+
+
 # 5
 
 
@@ -220,7 +306,7 @@ def test_raking_meets_marginals(spark):
     rng = random.Random(6)
     cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randint(50, 900) for a in range(6) for b in range(3) for c in range(2)}
     df = common.materialize(spark.createDataFrame([(*k, v, 1) for k, v in cells.items()], "source string, lang string, topic string, tokens long, docs long"), "t")
-    plan = mixing.Mix(source={f"s{a}": 1 + a for a in range(6)}, lang={"l0": 1, "l1": 1, "l2": 2}, topic=0.5)
+    plan = mixing.Mix(source={f"s{a}": 1 + a for a in range(6)}, lang={"l0": 1, "l1": 1, "l2": 2}, topic=0.5, budget=0.05)
     got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(df, plan).collect()}
     w = {k: float(v) for k, v in cells.items()}
     topic = {t: sum(v for k, v in cells.items() if k[2] == t) ** 0.5 for t in ("t0", "t1")}
@@ -234,14 +320,67 @@ def test_raking_meets_marginals(spark):
     assert got == pytest.approx(w, abs=1e-6)
 
 
-def test_mixing_samples_to_budget(spark):
-    rows = [(k, "word " * (5 + k % 40), ["en", "de", None][k % 3], f"s{k % 7 if k % 3 else 0}", 1) for k in range(2000)]
-    docs = odd_docs(spark, rows).drop("row")
+def plain_bounded_raking(cells, goals, budget):
+    """Raking in which no weight goes over the cell's share of the sample: what is over is held there, the rest raked on."""
+    whole = sum(cells.values())
+    top = {k: v / whole / budget for k, v in cells.items()}
+    held, w = set(), {k: v / whole for k, v in cells.items()}
+    while True:
+        for _ in range(3000):
+            for d, goal in enumerate(goals):
+                for value, g in goal.items():
+                    mine = [k for k in w if k[d] == value]
+                    free = sum(w[k] for k in mine if k not in held)
+                    for k in mine:
+                        if k not in held and free:
+                            w[k] *= max(g - sum(w[j] for j in mine if j in held), 0) / free
+        over = {k for k in w if k not in held and w[k] > top[k] * (1 + 1e-6)}
+        if not over:
+            return {k: min(1.0, w[k] / top[k]) for k in w}
+        held |= over
+        w.update({k: top[k] for k in over})
+
+
+def test_probabilities_equal_plain_raking(spark):
+    rng = random.Random(8)
+    cells = {(f"s{a}", f"l{b}", f"t{c}"): rng.randint(50, 900) for a in range(5) for b in range(3) for c in range(2)}
+    df = common.materialize(spark.createDataFrame([(*k, v, 1) for k, v in cells.items()], "source string, lang string, topic string, tokens long, docs long"), "t")
+    got = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mixing.rake(df, mixing.Mix(source=0.5, lang=0.6, topic=1.0, budget=0.95)).collect()}
+    whole, goals, room = sum(cells.values()), [], []
+    for d, power in enumerate((0.5, 0.6, 1.0)):
+        sums = Counter()
+        for k, v in cells.items():
+            sums[k[d]] += v
+        powers = {k: v**power for k, v in sums.items()}
+        goals.append({k: v / sum(powers.values()) for k, v in powers.items()})
+        room += [sums[k] / whole / goals[d][k] for k in sums]
+    want = plain_bounded_raking(cells, goals, min(0.95, *room))
+    assert got == pytest.approx(want, abs=1e-3) and max(got.values()) <= 1
+
+
+def test_sample_meets_its_marginals(spark):
+    rng = random.Random(5)
+    rows = [(k, "word " * rng.randint(5, 90) + ("License" if k % 11 == 0 else ""), rng.choice(["en", "en", "de", None]), f"s{min(rng.randint(0, 12), 6)}", 1) for k in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = mixing.Mix(source=0.6, lang=0.8)
+    mixed = mixing.mix(docs, plan)
+    for r in mixing.report(mixed, plan).collect():
+        assert r["expected"] == pytest.approx(r["target"], abs=0.002)
+    got = mixed.toPandas()
+    assert got["probability"].between(0, 1).all() and got["sampled"].sum() == pytest.approx(got["probability"].sum(), rel=0.05)
+    drawn = got[got["sampled"]].groupby("mix_lang")["mix_tokens"].sum()
+    want = {r["value"]: r["target"] for r in mixing.report(mixed, plan).filter("dimension = 'lang'").collect()}
+    for lang, share in (drawn / drawn.sum()).items():
+        assert share == pytest.approx(want[lang], abs=0.02)
+
+
+def test_mixing_of_odd_rows(spark):
+    rows = [(k, "word " * (5 + k % 40), ["en", "de", None][k % 3], f"s{k % 7 if k % 3 else 0}", 1) for k in range(200)]
+    docs = odd_docs(spark, rows).withColumns({"_doc": F.lit(1), "_docs": F.lit(2), "mix_tokens": F.lit(3), "sampled": F.lit(4)})
     got = mixing.mix(docs, mixing.Mix(source=0.3, budget=0.5)).toPandas()
-    assert len(got) == 2006 and got["probability"].between(0, 1).all()
-    assert (got["mix_tokens"] * got["probability"]).sum() == pytest.approx(0.5 * got["mix_tokens"].sum(), rel=0.001)
-    assert got["sampled"].sum() == pytest.approx(got["probability"].sum(), rel=0.1)
+    assert len(got) == 206 and got["probability"].between(0, 1).all() and set(docs.columns) <= set(got.columns)
     assert mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(docs.filter("text IS NULL")).first()["probability"] == 0
 
 
 def test_mixing_beyond_broadcast(spark, monkeypatch):
@@ -278,9 +417,11 @@ def test_ball_hashing_finds_all_links(spark, crowd):
         codes.append(rng.choice(codes) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
     codes = list(dict.fromkeys(codes))
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    vertices = common.materialize(spark.createDataFrame(list(zip(signed, range(len(codes)), strict=True)), "fp long, node long"), "v")
-    found = {r["node"]: r["component"] for r in simhash.components(simhash.links(vertices, crowd)).collect()}
-    assert [found.get(k, k) for k in range(len(codes))] == brute_classes(codes)
+    vertices = common.materialize(spark.createDataFrame([(c,) for c in signed], "fp long"), "v")
+    found = {r["item"]: r["component"] for r in graph.connected_components(simhash.links(vertices, crowd)).collect()}
+    roots = brute_classes(codes)
+    least = {r: min(c for c, x in zip(signed, roots, strict=True) if x == r) for r in roots}
+    assert [found.get(c, c) for c in signed] == [least[r] for r in roots]
 
 
 def test_simhash_classes(spark):
@@ -295,15 +436,53 @@ def test_simhash_classes(spark):
     roots = brute_classes(codes)
     least = {g: min((r["doc_id"] for r, x in zip(texts, roots, strict=True) if x == g and r["doc_id"] is not None), default=None) for g in roots}
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r["doc_id"], least[g]) for r, g in zip(texts, roots, strict=True))
-    kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({x for x in least.values() if x is not None}) and kept.count(None) == 1
-    assert simhash.classes(empty(spark)).count() == 0 and simhash.deduplicate(empty(spark)).count() == 0
-
-
-def test_components_of_a_chain_and_a_hub(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 100 + k) for k in range(1, 300)], "a long, b long")
-    got = {r["node"]: r["component"] for r in simhash.components(edges).collect()}
-    assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 400), 100)}
+    assert simhash.classes(empty(spark)).count() == 0
+
+
+def test_a_fingerprint_of_null_ids_links(spark, monkeypatch):
+    codes = {"zero": 0, "bridge": 0b111, "far": 0b111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a, **k: docs.select("doc_id", F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[F.col("text")].cast("long").alias("fp")))
+    docs = spark.createDataFrame([(2, "zero"), (None, "bridge"), (1, "far"), (None, "zero")], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.classes(docs).collect()} == {1}
+    # An id with two texts ties no fingerprints together.
+    docs = spark.createDataFrame([(5, "zero"), (5, "far"), (7, "far")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["fp"], r["component_id"]) for r in simhash.classes(docs).collect()) == [(5, 0, 5), (5, 63, 5), (7, 63, 5)]
+
+
+def brute_leaders(texts, least=0.8):
+    """Ids of the texts that stay, in the order of ids: those that share too little with every one that stays."""
+    kept = []
+    for i, text in sorted(texts):
+        words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", text.encode())]
+        own = {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+        if not any(len(own & x) >= least * len(own | x) for _, x in kept):
+            kept.append((i, own))
+    return {i for i, _ in kept}
+
+
+@pytest.mark.parametrize("rows_a_task", [512, 6])
+def test_near_copies_go(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", rows_a_task)
+    monkeypatch.setattr(simhash, "ROUND_LEADERS", min(rows_a_task // 2, 64))
+    rng, texts = random.Random(9), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        for copy in range(rng.choice([1, 2, 20])):
+            changed = list(base)
+            for _ in range(rng.randint(0, 3) if copy else 0):
+                changed[rng.randrange(len(changed))] = word()
+            texts.append(" ".join(changed))
+    rng.shuffle(texts)
+    rows = [(100 + k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    docs = odd_docs(spark, rows).withColumns({c: F.lit(c) for c in ("_row", "_copy", "_kept", "_id", "id", "mark", "copies", "node", "stays", "first")})
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    kept = [r["doc_id"] for r in got.collect()]
+    # The odd rows: empty texts are one text, the repeated row stays once, the row without an id stays.
+    want = brute_leaders([(r[0], r[1]) for r in rows] + [(1, ""), (3, LONG), (4, "a\nb\na\n \nb")])
+    assert sorted(x for x in kept if x is not None) == sorted(want) and kept.count(None) == 1
+    assert simhash.deduplicate(empty(spark)).count() == 0
 
 
 # 8
@@ -352,18 +531,42 @@ def test_images_decode(width, height, rng):
     assert np.allclose(media.area_resize(grey, h, w), cells)
 
 
+def plain_difference_hash(image):
+    """Cells of a 9 x 8 grid averaged pixel by pixel with exact fractions, then compared with their right neighbours."""
+    height, width = image.shape
+    across = [[max(min(Fraction(width * (c + 1), 9), x + 1) - max(Fraction(width * c, 9), x), 0) for x in range(width)] for c in range(9)]
+    bits = ""
+    for r in range(8):
+        low, high = Fraction(height * r, 8), Fraction(height * (r + 1), 8)
+        sums = [Fraction(0)] * width
+        for y in range(int(low), min(int(high) + 1, height)):
+            part = min(high, y + 1) - max(low, y)
+            if part > 0:
+                sums = [a + part * int(b) for a, b in zip(sums, image[y], strict=True)]
+        cells = [sum(w * s for w, s in zip(row, sums, strict=True) if w) for row in across]
+        area = Fraction(height, 8) * Fraction(width, 9)
+        cells = [round(float(c / area), 6) for c in cells]
+        bits += "".join("1" if a > b else "0" for a, b in zip(cells, cells[1:], strict=False))
+    return f"{int(bits, 2):016x}"
+
+
 def test_media_columns(spark):
     good, bad = media.encode_pgm(bytes(range(36)), 6), b"P5 9 9 255\n123"
     rows = spark.createDataFrame([(1, good), (2, bad), (3, None), (4, b""), (4, b"BM")], "media_id int, media binary").withColumn("tile", F.lit(1))
     got = media.media_tiles(rows).orderBy("media_id").collect()
     assert got[0]["height"] == 6 and np.load(__import__("io").BytesIO(got[0]["tile"])).shape == (32, 32) and got[0]["dhash"] == "0" * 16
     assert got[1]["error"] and got[2]["error"] is None and got[2]["tile"] is None and got[3]["error"] and got[4]["error"]
-    for r, t in zip(media.text_media(odd_docs(spark)).collect(), odd_docs(spark).collect(), strict=True):
-        data = (t["text"] or "").encode()
+    texts = {r["doc_id"]: r["text"] for r in odd_docs(spark).collect()}
+    found = media.text_media(odd_docs(spark)).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in odd_docs(spark).collect())
+    for r in found:
+        data = (texts[r["doc_id"]] or "").encode()
         full = data + b"\xff" * (576 * max(1, -(-len(data) // 576)) - len(data))
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(full))
         assert r["payload_sha256"] == hashlib.sha256(full).hexdigest() and r["tail_crc32"] == zlib.crc32(full[-32:])
         assert media.decode(bytes(r["media"])).tobytes() == full
+        assert r["feature"] == plain_difference_hash(np.frombuffer(full, np.uint8).reshape(-1, 24))
+        assert np.load(io.BytesIO(r["tile"])).shape == (32, 32)
     assert media.text_media(empty(spark)).count() == 0
 
 
@@ -386,6 +589,42 @@ def test_language_id_held_out(spark):
     assert langid.learn(empty(spark), F.lit(True)) == {} and langid.predict(empty(spark), {}).count() == 0
 
 
+def test_language_id_equals_plain_compression(spark):
+    """Every text against each language's dictionary with zstandard alone, level by level."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    rows = docs.collect()
+    crc = lambda r: zlib.crc32(str(r["doc_id"]).encode())
+    draw = lambda r: int(hashlib.md5(f"10:{r['doc_id']}".encode()).hexdigest()[:13], 16)
+    learned = {}
+    for lang in sorted({r["lang"] for r in rows}):
+        mine = sorted((r for r in rows if r["lang"] == lang and r["text"] and crc(r) % 4 != 2), key=draw)[: langid.SAMPLE_DOCS]
+        share = max(1024, langid.DICTIONARY_BYTES // len(mine))
+        learned[lang] = b"\n".join(r["text"].lower().encode()[:share] for r in mine)[: langid.DICTIONARY_BYTES]
+    assert langid.learn(docs, ~held) == learned
+    right = n = 0
+    for r, text in ((r, t["text"]) for r, t in zip(sorted(langid.predict(docs, learned).collect(), key=lambda r: r["doc_id"]), sorted(rows, key=lambda r: r["doc_id"]), strict=True)):
+        want = "und"
+        if text and any(map(str.isalpha, text)):
+            for level in (1, 12):
+                sizes = []
+                for lang, data in learned.items():
+                    raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                    raw.precompute_compress(level=level)
+                    sizes.append((len(zstandard.ZstdCompressor(dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text.lower().encode())), lang))
+                (best, want), (second, _) = sorted(sizes)[:2]
+                if second - best >= 0.06 * second:
+                    break
+            assert r["score"] == pytest.approx(second / (best + second))
+        assert r["lang_pred"] == want
+        truth = next(x["lang"] for x in rows if x["doc_id"] == r["doc_id"])
+        if crc(r) % 4 == 2:
+            n, right = n + 1, right + (want == truth)
+    assert right >= 0.95 * n
+
+
 # shared
 
 
