@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detection, inventory, pairs, splits, texts
+from .plans import detection, files, inventory, pairs, splits, texts
 
-MODULES = (inventory, pairs, detection, splits, texts)
+MODULES = (inventory, pairs, detection, splits, texts, files)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -82,6 +82,17 @@ def containment(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return tuple(min(shared / s, 1.0) if s > 0 else 0.0 for s in sizes)
 
 
+def projected_containment(h: np.ndarray, crop: tuple[float, float], parent: tuple[float, float]) -> tuple[float, float]:
+    """(containment, area ratio) of a crop under its map into a parent, sizes as (width, height): the part of the mapped
+    crop's bounding box that lies in the parent, and the parent's area over the crop's."""
+    w, height = crop
+    corners = project(np.asarray(h, float), np.array([[0, 0], [w, 0], [w, height], [0, height]], float))
+    low, high = corners.min(axis=0), corners.max(axis=0)
+    inside = np.clip(high, 0, parent) - np.clip(low, 0, parent)
+    box, own = float(np.prod(high - low)), w * height
+    return (float(np.prod(np.maximum(inside, 0))) / box if box > 0 else 0.0), (parent[0] * parent[1] / own if own > 0 else 0.0)
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """Corners of the hull, anticlockwise, by monotone chains."""
     ordered = sorted({(float(x), float(y)) for x, y in points})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STEM = r"^(.+?)_(\d+)$"
@@ -26,6 +26,13 @@ def stem_strict(stem: Column) -> Column:
     return F.when(stem.rlike(STEM), stem).otherwise(F.raise_error(F.concat(F.lit("bad stem: "), F.coalesce(stem, F.lit("null")))))
 
 
+def stem_flagged(stem: Column) -> Column:
+    """(prefix, number) of a stem; one of another form is its own prefix and has the number -1."""
+    known = stem.rlike(STEM)
+    number = F.when(known, F.regexp_extract(stem, STEM, 2).cast("bigint")).otherwise(F.lit(-1).cast("bigint"))
+    return F.struct(F.when(known, F.regexp_extract(stem, STEM, 1)).otherwise(stem).alias("prefix"), number.alias("number"))
+
+
 def prefix_letters(stem: Column) -> Column:
     """Leading letters and underscores, without underscores at their end."""
     return F.rtrim(F.regexp_extract(stem, "^([A-Za-z_]+)", 1), F.lit("_"))
@@ -60,6 +67,17 @@ def label_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, "(^|/)images/", "$1labels/"), r"\.[A-Za-z]+$", ".txt")
 
 
+def label_path_inner(path: Column) -> Column:
+    """The label file of an image: folders named images within a path become labels, whatever the slashes, and the last
+    extension becomes txt."""
+    return F.concat(F.regexp_replace(F.regexp_replace(path, r"[/\\\\]images[/\\\\]", "/labels/"), r"(?<=[^/])\.[^./]*$", ""), F.lit(".txt"))
+
+
+def label_path_anywhere(path: Column) -> Column:
+    """The label file of an image by plain replacement: every images and every .jpg, wherever they stand."""
+    return F.replace(F.replace(path, F.lit("images"), F.lit("labels")), F.lit(".jpg"), F.lit(".txt"))
+
+
 def split_of_path(path: Column) -> Column:
     """train, val or test as a folder of the path, else unknown."""
     return F.coalesce(F.nullif(F.regexp_extract(path, "(?:^|/)(train|val|test)/", 1), F.lit("")), F.lit("unknown"))
@@ -82,6 +100,11 @@ def camera_time(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit(DATE_FORMAT))
 
 
+def time_errors(rows: DataFrame, item: str, raw: str) -> DataFrame:
+    """(item, raw) of times that have a text but no form that camera_time reads."""
+    return rows.filter(F.col(raw).isNotNull() & camera_time(F.col(raw)).isNull()).select(item, F.col(raw).alias("raw"))
+
+
 def time_source(original: Column, fallback: Column) -> Column:
     """Which of two parsed times is used."""
     return F.when(original.isNotNull(), "original").when(fallback.isNotNull(), "fallback").otherwise("none")

@@ -82,3 +82,21 @@ def checksums(files: DataFrame, path: str, content: str) -> DataFrame:
 def within(a: Column, b: Column, tolerance: float) -> Column:
     """Whether a recomputed number agrees with a reported one."""
     return F.coalesce(F.abs(a - b) < tolerance, F.lit(False))
+
+
+def crop_parent_span(crops: DataFrame, assigned: DataFrame, item: str, split: str, known_limitation: bool = False) -> DataFrame:
+    """(pairs, crossing, verdict): crops (crop, parent) whose parent is in another split; pairs with an end that has no
+    split are not counted. Crossing pairs fail the check, unless they are a known limitation of how groups were made."""
+    side = lambda end: assigned.select(F.col(item).alias(end), F.col(split).alias(f"_s_{end}"))
+    met = crops.select("crop", "parent").join(side("crop"), "crop").join(side("parent"), "parent")
+    counts = met.agg(F.count("*").alias("pairs"), F.count_if(F.col("_s_crop") != F.col("_s_parent")).alias("crossing"))
+    return counts.withColumn("verdict", F.when(F.col("crossing") == 0, "ok").otherwise("known limitation" if known_limitation else "failed"))
+
+
+def delete_one(rows: DataFrame, matches: Column) -> DataFrame:
+    """rows without the one that matches; raises ValueError unless just one does."""
+    hit = F.coalesce(matches, F.lit(False))
+    n = rows.filter(hit).count()
+    if n != 1:
+        raise ValueError(f"{n} rows match, not one")
+    return rows.filter(~hit)

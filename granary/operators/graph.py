@@ -21,6 +21,42 @@ def block_edges(items: DataFrame, item: str, prefix: str, number: Column, size:
     return tied.filter("a <> b")
 
 
+def crop_parent_edges(crops: DataFrame, crop: str, parent: str) -> DataFrame:
+    """(a, b): every crop tied to its parent; a crop without one gives no edge."""
+    return crops.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("a"), F.col(crop).alias("b")).filter("a <> b").distinct()
+
+
+def orphan_edges(items: DataFrame, orphans: DataFrame, item: str, prefix: str, number: Column, size: int) -> DataFrame:
+    """(a, b): crops without a parent tied to the least crop without one of their block; other items tie nothing."""
+    named = orphans.select(F.col(item).alias("_orphan")).distinct()
+    return block_edges(items.join(named, F.col(item) == F.col("_orphan"), "left_semi"), item, prefix, number, size)
+
+
+def group_edges(items: DataFrame, item: str, group: str) -> DataFrame:
+    """(a, b): every member of a group tied to the group's least member."""
+    least = items.groupBy(F.col(group).alias("_group")).agg(F.min(item).alias("a"))
+    return items.join(least, F.col(group) == F.col("_group")).select("a", F.col(item).alias("b")).filter("a <> b")
+
+
+def merge_groups(items: DataFrame, item: str, group: str, pairs: DataFrame) -> DataFrame:
+    """items with component: groups that pairs (a, b) of their members tie are one."""
+    return with_components(items, item, group_edges(items, item, group).unionByName(pairs.select("a", "b")))
+
+
+def prefix_components(pairs: DataFrame, items: DataFrame, item: str, prefix: str) -> DataFrame:
+    """(prefix, component) of all prefixes; those that any item pair ties are one component, named by the least."""
+    edges = supergraph(pairs, items, item, prefix).select(F.col("prefix_a").alias("a"), F.col("prefix_b").alias("b"))
+    known = items.select(F.col(prefix).alias("prefix")).filter("prefix IS NOT NULL").distinct()
+    return with_components(known, "prefix", edges)
+
+
+def crossing_edges(pairs: DataFrame, members: DataFrame, item: str, component: str, split: str) -> DataFrame:
+    """(component, edges, crossing): pairs within each component, and those whose ends are in different splits."""
+    side = lambda end: members.select(F.col(item).alias(end), F.col(component).alias(f"c_{end}"), F.col(split).alias(f"s_{end}"))
+    within = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").filter("c_a = c_b")
+    return within.groupBy(F.col("c_a").alias("component")).agg(F.count("*").alias("edges"), F.count_if(F.col("s_a") != F.col("s_b")).alias("crossing"))
+
+
 def hash_edges(pairs: DataFrame, distance: str, most: int) -> DataFrame:
     """(a, b) of pairs at most so far apart; a null distance never matches."""
     return pairs.filter(F.col(distance) <= most).select("a", "b")

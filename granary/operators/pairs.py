@@ -264,6 +264,29 @@ def best_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def heads(df: DataFrame, score: str, bands: Sequence[tuple[str, float | None, float | None, int]], *ties: str) -> DataFrame:
+    """(band, rank, columns) of the best rows of each band (name, least, most, n), by falling score; bounds are inclusive,
+    None for none. Rows of one score are taken in the order of ties, which must be total."""
+    out = None
+    for name, least, most, n in bands:
+        kept = df.filter(F.col(score).isNotNull())
+        kept = kept if least is None else kept.filter(F.col(score) >= least)
+        kept = kept if most is None else kept.filter(F.col(score) <= most)
+        top = kept.orderBy(F.desc(score), *ties).limit(n)
+        # At most n rows a band are ranked here.
+        ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), *ties))).select(F.lit(name).alias("band"), "rank", *df.columns)
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
+
+
+def offset_pick(df: DataFrame, key: str, n: int, skip: int, *order: Column) -> DataFrame:
+    """n rows of each key in a total order, without the first skip; a key with too few for that gives its first n."""
+    w = Window.partitionBy(key)
+    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
+    after = F.when(F.col("_n") >= skip + n, skip).otherwise(0)
+    return ranked.filter((F.col("_r") > after) & (F.col("_r") <= after + n)).withColumnRenamed("_r", "rank").drop("_n")
+
+
 def parents_two_phase(crops: DataFrame, others: DataFrame, family: str, score: Column, least: float, near: tuple[str, int] | None = None) -> DataFrame:
     """Best parent of each crop: within its family first, and among all others where the family has none.
 

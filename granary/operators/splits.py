@@ -14,7 +14,9 @@ from ..functions.ranking import running
 from ..functions.scalars import draw
 from ..functions.storage import ship
 
+#: The splits, and the shares that searches aim at and that rebalancing keeps.
 SPLITS = ("train", "val", "test")
+TARGETS, KEPT = (0.7, 0.15, 0.15), (0.681, 0.165, 0.154)
 #: Groups that a search may have; each of its tasks holds the table of groups.
 MOST_GROUPS = 200_000
 
@@ -59,16 +61,30 @@ def assign(order: np.ndarray, sizes: np.ndarray, forced: np.ndarray, targets: np
     return out
 
 
+def fill(order: np.ndarray, sizes: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Split numbers of groups taken in an order: val is filled up to its target first, then test; the rest is train."""
+    n = sizes[order, 0]
+    begun = np.cumsum(n) - n
+    val = begun < targets[1] * n.sum()
+    test = ~val & (np.cumsum(np.where(val, 0, n)) - n < targets[2] * n.sum())
+    out = np.zeros(len(sizes), int)
+    out[order[val]], out[order[test]] = 1, 2
+    return out
+
+
 def deviation(split: np.ndarray, sizes: np.ndarray, targets: np.ndarray) -> float:
     """Largest distance between the share of a measure that val or test has and its target."""
     totals = np.where(sizes.sum(0) > 0, sizes.sum(0), 1)
     return max(float(np.abs(sizes[split == k].sum(0) / totals - targets[k]).max()) for k in (1, 2))
 
 
-def search_groups(stats: DataFrame, group: str, measures: Sequence[str], rounds: int = 20_000, targets: Sequence[float] = (0.7, 0.15, 0.15), seed: int = 42, by_size: bool = False, tasks: int = 16) -> DataFrame:
-    """(group, split, deviation) of the best of many random greedy assignments; every round has a seed of its own.
+def search_groups(stats: DataFrame, group: str, measures: Sequence[str], rounds: int = 20_000, targets: Sequence[float] = TARGETS, seed: int = 42, by_size: bool = False, tasks: int = 16, val_first: bool = False, least_train: float = 0.0, tolerance: float | None = None) -> DataFrame:
+    """(group, split, deviation, valid) of the best of many random greedy assignments; every round has a seed of its own.
 
-    by_size: every third round takes groups by decreasing size. The table of groups is checked against MOST_GROUPS
+    by_size: every third round takes groups by decreasing size. val_first: val and then test are filled to their targets
+    instead of the split with the largest deficit; groups can't be forced then. Rounds that leave train less than the
+    share least_train count only if all do. valid: train has that share, and no measure is further from its target than
+    tolerance. The table of groups is checked against MOST_GROUPS
     before it is handed to the tasks; rounds run apart from each other and only their bests come together.
     """
     ship(stats.sparkSession)
@@ -81,21 +97,36 @@ def search_groups(stats: DataFrame, group: str, measures: Sequence[str], rounds:
         order = np.random.default_rng([seed, r]).permutation(len(sizes))
         if by_size and r % 3 == 0:
             order = order[np.argsort(-sizes[order, 0], kind="stable")]
-        return assign(order, sizes, forced, goal)
+        return fill(order, sizes, goal) if val_first else assign(order, sizes, forced, goal)
+
+    def score(split: np.ndarray) -> tuple[bool, float]:
+        return bool(sizes[split == 0, 0].sum() < least_train * sizes[:, 0].sum()), deviation(split, sizes, goal)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            found = [(deviation(one(int(r)), sizes, goal), int(r)) for r in f["id"]]
+            found = [(*score(one(int(r))), int(r)) for r in f["id"]]
             if found:
-                yield pd.DataFrame([min(found)], columns=["deviation", "round"])
+                yield pd.DataFrame([min(found)], columns=["short", "deviation", "round"])
 
     if not len(table):
-        return stats.sparkSession.createDataFrame([], f"`{group}` string, split string, deviation double")
-    best = stats.sparkSession.range(0, rounds, 1, tasks).mapInPandas(run, "deviation double, round bigint").orderBy("deviation", "round").first()
-    out = pd.DataFrame({group: table[group], "split": [SPLITS[k] for k in one(best["round"])], "deviation": round(best["deviation"], 9)})
+        return stats.sparkSession.createDataFrame([], f"`{group}` string, split string, deviation double, valid boolean")
+    best = stats.sparkSession.range(0, rounds, 1, tasks).mapInPandas(run, "short boolean, deviation double, round bigint").orderBy("short", "deviation", "round").first()
+    valid = not best["short"] and (tolerance is None or best["deviation"] <= tolerance)
+    out = pd.DataFrame({group: table[group], "split": [SPLITS[k] for k in one(best["round"])], "deviation": round(best["deviation"], 9), "valid": valid})
     return stats.sparkSession.createDataFrame(out)
 
 
+def class_deviation(items: DataFrame, split: str, measures: Mapping[str, Column], targets: Sequence[float] = TARGETS, tolerance: float = 0.03) -> DataFrame:
+    """(measure, train, val, test, deviation, achievable): the share of each measure that each split has, and the largest
+    distance to the targets; a measure without any instance has shares of zero and is achievable."""
+    sums = items.groupBy(F.col(split).alias("_split")).agg(*[F.sum(m.cast("double")).alias(k) for k, m in measures.items()])
+    long = sums.select("_split", F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("n")) for k in measures])))
+    wide = long.groupBy("measure").agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col("_split") == s, F.col("n")).otherwise(0.0)).alias(f"_{s}") for s in SPLITS])
+    share = lambda s: F.coalesce(F.try_divide(f"_{s}", "_all"), F.lit(0.0))
+    far = F.when(F.coalesce(F.col("_all"), F.lit(0.0)) == 0, 0.0).otherwise(F.greatest(*[F.abs(share(s) - t) for s, t in zip(SPLITS, targets, strict=True)]))
+    return wide.select("measure", *[share(s).alias(s) for s in SPLITS], far.alias("deviation"), (far <= tolerance).alias("achievable"))
+
+
 def choose_block(spark: SparkSession, attempts: Mapping[int, DataFrame], most_deviation: float = 0.03, most_share: float = 0.1) -> int | None:
     """The largest block size whose (deviation, largest_share) row qualifies."""
     for size in sorted(attempts, reverse=True):
@@ -105,7 +136,7 @@ def choose_block(spark: SparkSession, attempts: Mapping[int, DataFrame], most_de
     return None
 
 
-def rebalance(components: DataFrame, component: str, split: str, size: str, movable: str, targets: Sequence[float] = (0.681, 0.165, 0.154), tolerance: float = 0.02, passes: int = 2) -> DataFrame:
+def rebalance(components: DataFrame, component: str, split: str, size: str, movable: str, targets: Sequence[float] = KEPT, tolerance: float = 0.02, passes: int = 2) -> DataFrame:
     """components with new_split and moved: while a share is out of tolerance, movable components go, smallest first,
     from the split with most over its target to the one with most under it, if that brings all closer.
 

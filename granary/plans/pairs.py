@@ -275,3 +275,57 @@ def distinct_pairs_above(spark, sf_dir):
 def effective_edges(spark, sf_dir):
     counts = members(spark, sf_dir).agg(F.count("*").alias("items"), F.count_distinct("component").alias("components"))
     return counts.withColumn("effective", graph.effective_edges(F.col("items"), F.col("components")))
+
+
+RULES = f"""WITH {fx.ITEMS}, blocks AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY prefix, number // 200) AS a, doc_id AS b FROM items) WHERE a <> b),
+crops AS (SELECT doc_id + 1 AS a, doc_id AS b FROM items WHERE doc_id % 7 = 0 AND doc_id % 3 <> 0), orphans AS (SELECT * FROM items WHERE doc_id % 7 = 0 AND doc_id % 3 = 0),
+strays AS (SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY prefix, number // 400) AS a, doc_id AS b FROM orphans) WHERE a <> b),
+edges AS (SELECT 'a' AS rule, a, b FROM blocks UNION ALL SELECT 'b', a, b FROM crops UNION ALL SELECT 'c', a, b FROM strays)"""
+
+
+def rules_of(spark, sf_dir):
+    """Edges of blocks, of crops to their parents (the next document) and of crops without one."""
+    items = fx.items(spark, sf_dir)
+    crops = items.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("crop"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") + 1).alias("parent"))
+    orphans = crops.filter("parent IS NULL").select(F.col("crop").alias("doc_id"))
+    return {
+        "a": block_edges_of(spark, sf_dir),
+        "b": graph.crop_parent_edges(crops, "crop", "parent"),
+        "c": graph.orphan_edges(items, orphans, "doc_id", "prefix", F.col("number"), 400),
+    }
+
+
+@query(f"{RULES} SELECT rule, least(a, b) AS a, greatest(a, b) AS b FROM edges")
+def edges_by_rule(spark, sf_dir):
+    """The edges that each of the three rules makes."""
+    out = None
+    for name, edges in rules_of(spark, sf_dir).items():
+        rows = edges.select(F.lit(name).alias("rule"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def ablation_by_rule(spark, sf_dir):
+    """Components and the largest one as the three rules are added."""
+    return graph.ablation(table(spark, sf_dir, "documents"), "doc_id", rules_of(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {fx.PAIRS}, m AS (SELECT DISTINCT x.label AS a, y.label AS b FROM pairs JOIN codes x ON a = x.vec_id JOIN codes y ON b = y.vec_id WHERE x.label <> y.label), nodes AS (SELECT DISTINCT label AS item FROM codes), {reach_sql('m', 'nodes')}
+SELECT item AS prefix, component FROM components""")
+def prefix_components(spark, sf_dir):
+    return graph.prefix_components(fx.pairs(spark, sf_dir), fx.codes(spark, sf_dir), "vec_id", "label")
+
+
+@query(f"""WITH RECURSIVE {fx.PAIRS}, tied AS (SELECT label AS ga, vec_id, label * 50 + vec_id % 50 AS g FROM codes), e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM pairs JOIN tied x ON a = x.vec_id JOIN tied y ON b = y.vec_id WHERE x.g <> y.g),
+nodes AS (SELECT DISTINCT g AS item FROM tied), {reach_sql('e', 'nodes')}, named AS (SELECT t.vec_id, c.component AS root FROM tied t JOIN components c ON t.g = c.item)
+SELECT vec_id, min(vec_id) OVER (PARTITION BY root) AS component FROM named""")
+def merged_groups(spark, sf_dir):
+    """Groups of vectors, merged where a pair ties two of them."""
+    items = fx.codes(spark, sf_dir).select("vec_id", (F.col("label") * 50 + F.col("vec_id") % 50).alias("grp"))
+    return graph.merge_groups(items, "vec_id", "grp", fx.pairs(spark, sf_dir)).select("vec_id", "component")
+
+
+@query(f"{MEMBERS} SELECT x.component, count(*) AS edges, count(*) FILTER (x.split <> y.split) AS crossing FROM pairs JOIN members x ON a = x.vec_id JOIN members y ON b = y.vec_id GROUP BY 1")
+def crossing_edges(spark, sf_dir):
+    return graph.crossing_edges(fx.pairs(spark, sf_dir), members(spark, sf_dir), "vec_id", "component", "split")

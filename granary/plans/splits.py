@@ -71,7 +71,7 @@ def randomised_group_split(spark, sf_dir):
 @query()
 def size_ordered_group_split(spark, sf_dir):
     stats = ops.group_stats(fx.items(spark, sf_dir), "prefix", measures())
-    return ops.search_groups(stats, "prefix", list(measures()), by_size=True, targets=(0.68, 0.16, 0.16))
+    return ops.search_groups(stats, "prefix", list(measures()), by_size=True, val_first=True, least_train=0.68, tolerance=0.03)
 
 
 @query()
@@ -167,12 +167,10 @@ def unplaceable_items(spark, sf_dir):
     return ses.unplaceable(mine, timed, ses.inherited(mine, timed, "event_id", "parent"), "event_id").select("event_id")
 
 
-@query("SELECT * FROM (SELECT o_custkey AS k, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r BETWEEN 2 AND 3")
+@query("SELECT k, v, r FROM (SELECT o_custkey AS k, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r - CASE WHEN n >= 3 THEN 1 ELSE 0 END BETWEEN 1 AND 2")
 def offset_pick(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("k").orderBy(F.desc("o_totalprice"), "v")
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), "o_totalprice").withColumn("r", F.row_number().over(w).cast("bigint")).filter("r BETWEEN 2 AND 3").drop("o_totalprice")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), "o_totalprice")
+    return pair_ops.offset_pick(orders, "k", 2, 1, F.desc("o_totalprice"), F.col("v")).select("k", "v", F.col("rank").cast("bigint").alias("r"))
 
 
 @query("SELECT o_custkey AS k, o_orderkey AS v FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
@@ -200,3 +198,13 @@ def block_choice(spark, sf_dir):
         counts = grouped.groupBy("grp").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("largest_share"))
         attempts[size] = best.agg(F.max("deviation").alias("deviation")).join(F.broadcast(counts))
     return spark.createDataFrame([(ops.choose_block(spark, attempts),)], "block int")
+
+
+@query(f"""WITH {fx.ITEMS}, l AS (SELECT split, unnest(['items', 'quality', 'toxic']) AS measure, unnest([1, coalesce(quality, 0), coalesce(toxic, 0)]) AS n FROM items),
+s AS (SELECT measure, sum(n) FILTER (split = 'train')::double / sum(n) AS train, sum(n) FILTER (split = 'val')::double / sum(n) AS val, sum(n) FILTER (split = 'test')::double / sum(n) AS test FROM l GROUP BY 1)
+SELECT measure, round(train, 6) AS train, round(val, 6) AS val, round(test, 6) AS test, round(greatest(abs(train - 0.7::double), abs(val - 0.15::double), abs(test - 0.15::double)), 6) AS deviation, greatest(abs(train - 0.7::double), abs(val - 0.15::double), abs(test - 0.15::double)) <= 0.03 AS achievable FROM s""")
+def class_deviation(spark, sf_dir):
+    """How far each measure's shares of the splits are from the targets."""
+    kept = {k: v for k, v in measures().items() if k != "background"}
+    out = ops.class_deviation(fx.items(spark, sf_dir), "split", kept)
+    return out.withColumns({c: F.round(c, 6) for c in ("train", "val", "test", "deviation")})

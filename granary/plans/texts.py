@@ -101,7 +101,7 @@ def sections(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", scalars.section(html, "<title>", "</title>").alias("title"), scalars.context(html, F.lit("nav"), 5).alias("around"))
 
 
-@query()
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(text, '[0-9.]+'), lambda x: regexp_matches(x, '^[0-9][0-9]$')))::int AS n FROM documents")
 def lone_numbers(spark, sf_dir):
     found = F.regexp_extract_all("text", F.lit(r"(?<![0-9.])([0-9]{2})(?![0-9.])"), F.lit(1))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import fnmatch
+import io
 import json
 import struct
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,9 +99,12 @@ def latest(listed: DataFrame) -> DataFrame:
     return listed.agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
 
 
-def label_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, parts) of every line that is not blank; empty files are absent here and are found by their listing."""
-    lines = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), STEM_OF_PATH, 1).alias("stem"), F.trim("value").alias("line"))
+def label_lines(spark: SparkSession, path: str, stem: str = STEM_OF_PATH) -> DataFrame:
+    """(stem, parts) of every line that is not blank; empty files are absent here and are found by their listing.
+
+    stem: what of a file's path names its item; its name without the extension, unless another pattern is given.
+    """
+    lines = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), stem, 1).alias("stem"), F.trim("value").alias("line"))
     return lines.filter("line <> ''").select("stem", F.split("line", r"\s+").alias("parts"))
 
 
@@ -220,13 +225,27 @@ def with_kernel(content: DataFrame, kernel: Callable, names: Sequence[str], sche
     return content.mapInPandas(run, schema)
 
 
+def npy_values(content: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, shape, values) of arrays in NPY form, in row order; other bytes, and arrays of objects, fail the query."""
+    ship(content.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            arrays = [np.load(io.BytesIO(bytes(c)), allow_pickle=False) for c in f[column]]
+            yield pd.DataFrame({key: f[key], "shape": [list(a.shape) for a in arrays], "values": [a.astype(float).reshape(-1).tolist() for a in arrays]})
+
+    kind = content.schema[key].dataType.simpleString()
+    return content.filter(F.col(column).isNotNull()).select(key, column).mapInPandas(run, f"`{key}` {kind}, shape array<int>, values array<double>")
+
+
 #: The tags of a camera's metadata that are read, and where the two further tables stand.
 CAMERA_TAGS = {0x010F: "make", 0x0110: "model", 0x0132: "time", 0x9003: "time_original"}
 DETAIL_TABLE, PLACE_TABLE = 0x8769, 0x8825
 
 
 def camera_metadata(data: bytes) -> dict[str, object]:
-    """make, model, time, time_original and has_gps from a JPEG's metadata; empty where there is none or it is damaged."""
+    """make, model, time, time_original, has_gps, latitude and longitude (degrees, south and west negative) from a JPEG's
+    metadata; empty where there is none or it is damaged."""
     at = data.find(b"Exif\0\0") + 6
     if data[:2] != b"\xff\xd8" or at < 6 or data[at : at + 2] not in (b"II", b"MM"):
         return {}
@@ -244,13 +263,34 @@ def camera_metadata(data: bytes) -> dict[str, object]:
                 todo.append(value)
             elif tag == PLACE_TABLE:
                 found["has_gps"] = True
+                found |= _place(base, order, value)
             elif tag in CAMERA_TAGS and kind == 2:
                 raw = base[entry + 8 : entry + 8 + count] if count <= 4 else base[value : value + count]
                 found[CAMERA_TAGS[tag]] = raw.split(b"\0")[0].decode("ascii", "replace").strip()
     return found
 
 
+def _place(base: bytes, order: str, begin: int) -> dict[str, float]:
+    """latitude and longitude of a table of places: fixed tags 1 to 4, a letter and three fractions for each."""
+    letters, angles = {}, {}
+    if begin + 2 > len(base):
+        return {}
+    for k in range(struct.unpack_from(order + "H", base, begin)[0]):
+        entry = begin + 2 + 12 * k
+        if entry + 12 > len(base):
+            break
+        tag, kind, count, value = struct.unpack_from(order + "HHII", base, entry)
+        if tag in (1, 3) and kind == 2:
+            letters[tag] = chr(base[entry + 8])
+        elif tag in (2, 4) and kind == 5 and count == 3 and value + 24 <= len(base):
+            parts = struct.unpack_from(order + "6I", base, value)
+            if all(parts[1::2]):
+                angles[tag] = parts[0] / parts[1] + parts[2] / parts[3] / 60 + parts[4] / parts[5] / 3600
+    named = {2: ("latitude", "S"), 4: ("longitude", "W")}
+    return {named[t][0]: -a if letters.get(t - 1) == named[t][1] else a for t, a in angles.items()}
+
+
 def camera_files(content: DataFrame) -> DataFrame:
-    """(path, make, model, time, time_original, has_gps) of image files."""
-    names = ("make", "model", "time", "time_original", "has_gps")
-    return with_kernel(content.select("path", "content"), lambda data: [camera_metadata(bytes(data)).get(n) for n in names], names, "path string, make string, model string, time string, time_original string, has_gps boolean")
+    """(path, make, model, time, time_original, has_gps, latitude, longitude) of image files."""
+    names = ("make", "model", "time", "time_original", "has_gps", "latitude", "longitude")
+    return with_kernel(content.select("path", "content"), lambda data: [camera_metadata(bytes(data)).get(n) for n in names], names, "path string, make string, model string, time string, time_original string, has_gps boolean, latitude double, longitude double")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import ship
+
 MOST_COPIED = 20 * 1024 * 1024
 
 
@@ -30,14 +34,35 @@ def next_version(df: DataFrame, folder: str, version: int) -> str:
     return path
 
 
-def merge_section(path: str, section: str, value: object) -> None:
-    """Replace one section of a JSON file on the driver."""
-    file = Path(path)
-    whole = json.loads(file.read_text()) if file.exists() else {}
+def merge_section(spark: SparkSession, path: str, section: str, value: object) -> None:
+    """Replace one section of a JSON file, on any file system that Spark reaches; the file is swapped when it is whole."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file, draft = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.draft"))
+    store = file.getFileSystem(conf)
+    whole = json.loads(spark.read.text(path, wholetext=True).first()["value"]) if store.exists(file) else {}
     whole[section] = value
-    draft = file.with_suffix(".tmp")
-    draft.write_text(json.dumps(whole, indent=2, sort_keys=True))
-    draft.replace(file)
+    out = store.create(draft, True)
+    out.write(bytearray(json.dumps(whole, indent=2, sort_keys=True).encode()))
+    out.close()
+    store.delete(file, False)
+    store.rename(draft, file)
+
+
+def npy_bytes(df: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, content) of arrays of numbers in NPY form, as doubles."""
+    ship(df.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for v in f[values]:
+                held = io.BytesIO()
+                np.save(held, np.asarray(v, float), allow_pickle=False)
+                out.append(held.getvalue())
+            yield pd.DataFrame({key: f[key], "content": out})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.filter(F.col(values).isNotNull()).select(key, values).mapInPandas(run, f"`{key}` {kind}, content binary")
 
 
 def json_column(df: DataFrame, name: str = "json") -> DataFrame:

@@ -278,8 +278,8 @@ def test_readers_and_writers(spark, tmp_path):
     writers.split_lists(items, str(tmp_path / "lists"), "path", "split")
     assert [r["line"] for r in readers.line_list(spark, str(tmp_path / "lists" / "split=val")).collect()] == ["x/1.jpg", "x/2.jpg"]
     assert writers.markdown(items.limit(1)).splitlines()[0] == "| path | split |"
-    writers.merge_section(str(tmp_path / "r.json"), "one", {"x": 1})
-    writers.merge_section(str(tmp_path / "r.json"), "two", 2)
+    writers.merge_section(spark, str(tmp_path / "r.json"), "one", {"x": 1})
+    writers.merge_section(spark, str(tmp_path / "r.json"), "two", 2)
     assert '"two": 2' in (tmp_path / "r.json").read_text()
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08" + (5).to_bytes(2, "big") + (6).to_bytes(2, "big") + b"\x01" * 6
@@ -296,6 +296,11 @@ def test_camera_metadata(spark):
     body = (b"II*\0" + struct.pack("<I", 8) + ifd).ljust(60, b"\0") + text
     jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(body) + 8) + b"Exif\0\0" + body
     assert readers.camera_metadata(jpeg) == {"has_gps": True, "make": "abc", "time": "2020:01:02 03:04:05"}
+    places = struct.pack("<H", 4) + struct.pack("<HHI4s", 1, 2, 2, b"S\0\0\0") + struct.pack("<HHII", 2, 5, 3, 200) + struct.pack("<HHI4s", 3, 2, 2, b"E\0\0\0") + struct.pack("<HHII", 4, 5, 3, 224)
+    placed = body.replace(struct.pack("<HHII", 0x8825, 4, 1, 0), struct.pack("<HHII", 0x8825, 4, 1, 100)).ljust(100, b"\0") + places
+    placed = placed.ljust(200, b"\0") + struct.pack("<6I", 12, 1, 30, 1, 0, 1) + struct.pack("<6I", 77, 1, 0, 1, 36, 1)
+    found = readers.camera_metadata(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(placed) + 8) + b"Exif\0\0" + placed)
+    assert found["latitude"] == -12.5 and found["longitude"] == pytest.approx(77.01) and found["has_gps"]
     assert readers.camera_metadata(jpeg[:30])["has_gps"] is False and readers.camera_metadata(b"x") == {}
     got = readers.camera_files(spark.createDataFrame([("p", jpeg), ("q", b"")], "path string, content binary")).orderBy("path").collect()
     assert got[0]["make"] == "abc" and got[0]["has_gps"] and got[1]["make"] is None
@@ -308,3 +313,119 @@ def test_best_of_variants():
     k, n, inliers = geometry.best_variant([rng.uniform(0, 100, (30, 2)), points], moved, [rng.normal(size=(30, 16)), target + rng.normal(size=(30, 16)) * 0.01], target)
     assert (k, n) == (1, 30) and len(inliers) == 30
     assert geometry.hull_coverage(inliers, 0, 1e4) == geometry.hull_coverage(inliers, 50, 1e4)
+
+
+def test_edge_rules(spark):
+    items = spark.createDataFrame([(k, "ab"[k % 2], k) for k in range(12)], "id int, prefix string, number int")
+    crops = spark.createDataFrame([(3, 1), (4, None), (6, None), (8, None), (10, 0), (5, 5)], "crop int, parent int")
+    edges = lambda df: sorted(tuple(r) for r in df.select("a", "b").collect())
+    assert edges(graph.crop_parent_edges(crops, "crop", "parent")) == [(0, 10), (1, 3)]
+    orphans = crops.filter("parent IS NULL").select(F.col("crop").alias("id"))
+    assert edges(graph.orphan_edges(items, orphans, "id", "prefix", F.col("number"), 8)) == [(4, 6)]
+    pairs_ = spark.createDataFrame([(0, 3), (1, 2), (8, 9)], "a int, b int")
+    merged = graph.merge_groups(items.withColumn("grp", F.floor(F.col("number") / 4)), "id", "grp", pairs_)
+    assert {r["id"]: r["component"] for r in merged.collect()} == {k: k // 4 * 4 for k in range(12)}
+    tied = graph.merge_groups(items.withColumn("grp", F.floor(F.col("number") / 4)), "id", "grp", pairs_.unionByName(spark.createDataFrame([(2, 9)], "a int, b int")))
+    assert {r["component"] for r in tied.filter("id < 4 OR id > 7").collect()} == {0}
+    more = items.unionByName(spark.createDataFrame([(90, "c", 90)], items.schema))
+    assert {r["prefix"]: r["component"] for r in graph.prefix_components(pairs_, more, "id", "prefix").collect()} == {"a": "a", "b": "a", "c": "c"}
+    known = items.withColumns({"component": F.floor(F.col("number") / 4), "split": F.when(F.col("id") < 2, "train").otherwise("test")})
+    got = graph.crossing_edges(pairs_, known, "id", "component", "split").collect()
+    assert sorted(map(tuple, got)) == [(0, 2, 2), (2, 1, 0)]
+
+
+def test_spans_deviations_and_deletions(spark):
+    crops = spark.createDataFrame([(1, 2), (3, 4), (5, None), (6, 99)], "crop int, parent int")
+    assigned = spark.createDataFrame([(1, "train"), (2, "train"), (3, "val"), (4, "test"), (5, "val"), (6, "val")], "id int, split string")
+    assert tuple(checks.crop_parent_span(crops, assigned, "id", "split").first()) == (2, 1, "failed")
+    assert checks.crop_parent_span(crops, assigned, "id", "split", True).first()["verdict"] == "known limitation"
+    assert checks.crop_parent_span(crops.limit(1), assigned, "id", "split").first()["verdict"] == "ok"
+    got = {r["measure"]: r for r in splits.class_deviation(assigned, "split", {"n": F.lit(1), "none": F.lit(0)}).collect()}
+    assert got["n"]["val"] == 0.5 and got["n"]["deviation"] == pytest.approx(0.7 - 2 / 6) and not got["n"]["achievable"] and got["none"]["achievable"]
+    assert checks.delete_one(assigned, F.col("id") == 3).count() == 5
+    for bad in (F.col("id") == 9, F.col("split") == "val"):
+        with pytest.raises(ValueError, match="rows match"):
+            checks.delete_one(assigned, bad)
+
+
+def test_search_fills_val_first(spark):
+    sizes = np.array([[float(1 + k % 7)] for k in range(60)])
+    order = np.random.default_rng(3).permutation(60)
+    got, want, val, test = splits.fill(order, sizes, np.array([0.7, 0.15, 0.15])), [0] * 60, 0.0, 0.0
+    for g in order:
+        if val < 0.15 * sizes.sum():
+            want[g], val = 1, val + sizes[g, 0]
+        elif test < 0.15 * sizes.sum():
+            want[g], test = 2, test + sizes[g, 0]
+    assert got.tolist() == want
+    stats = spark.createDataFrame([(f"g{k}", float(1 + k % 7), False) for k in range(60)], "grp string, items double, forced boolean")
+    found = splits.search_groups(stats, "grp", ["items"], rounds=60, val_first=True, by_size=True, least_train=0.68, tolerance=0.03).collect()
+    share = sum(int(r["grp"][1:]) % 7 + 1 for r in found if r["split"] == "train") / sizes.sum()
+    assert share >= 0.68 and {r["valid"] for r in found} == {True}
+    assert not splits.search_groups(stats, "grp", ["items"], rounds=9, val_first=True, least_train=0.99).first()["valid"]
+
+
+def test_split_searches_equal_plain_loops(spark):
+    """Every round again, in plain Python; the best deviation and its assignment are those of the search."""
+    rows = [(f"g{k:02}", float(1 + k * k % 9), float(k % 3), k == 5) for k in range(30)]
+    stats = spark.createDataFrame(rows, "grp string, items double, marks double, forced boolean")
+    got = {r["grp"]: (r["split"], r["deviation"]) for r in splits.search_groups(stats, "grp", ["items", "marks"], rounds=40, by_size=True).collect()}
+    best = None
+    for r in range(40):
+        order = np.random.default_rng([42, r]).permutation(30).tolist()
+        if r % 3 == 0:
+            order.sort(key=lambda g: -rows[g][1])
+        whole, held, at = sum(x[1] for x in rows), [rows[5][1], 0.0, 0.0], {5: 0}
+        for g in order:
+            if g != 5:
+                at[g] = max(range(3), key=lambda k: ((0.7, 0.15, 0.15)[k] * whole - held[k], -k))
+                held[at[g]] += rows[g][1]
+        far = max(abs(sum(x[m] for g, x in enumerate(rows) if at[g] == k) / sum(x[m] for x in rows) - 0.15) for m in (1, 2) for k in (1, 2))
+        best = min(best, (far, r, at), key=lambda x: x[:2]) if best else (far, r, at)
+    assert {g: s for g, (s, _) in got.items()} == {rows[g][0]: splits.SPLITS[k] for g, k in best[2].items()}
+    assert {d for _, d in got.values()} == {round(best[0], 9)}
+
+
+def test_rebalance_equals_a_plain_loop(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice(["train", "train", "val", "test"]), rng.randint(1, 9), rng.random() < 0.8) for k in range(60)]
+    got = {r["c"]: r["new_split"] for r in splits.rebalance(spark.createDataFrame(rows, "c int, split string, n int, movable boolean"), "c", "split", "n", "movable").collect()}
+    at, whole, goal = {k: s for k, s, _, _ in rows}, sum(r[2] for r in rows), dict(zip(splits.SPLITS, splits.KEPT, strict=True))
+    for _ in range(2):
+        for k, _, n, movable in sorted(rows, key=lambda r: (r[2], r[0])):
+            gap = {s: sum(r[2] for r in rows if at[r[0]] == s) / whole - goal[s] for s in splits.SPLITS}
+            if max(map(abs, gap.values())) <= 0.02:
+                break
+            low, high = min(splits.SPLITS, key=gap.get), max(splits.SPLITS, key=gap.get)
+            step = n / whole
+            if movable and at[k] == high != low and abs(gap[high] - step) + abs(gap[low] + step) < abs(gap[high]) + abs(gap[low]):
+                at[k] = low
+    assert got == at
+
+
+def test_names_paths_bands_and_picks(spark):
+    df = spark.createDataFrame([("FIELD_NEW_396",), ("plain",)], "s string")
+    assert [tuple(r[0]) for r in df.select(scalars.stem_flagged(F.col("s"))).collect()] == [("FIELD_NEW", 396), ("plain", -1)]
+    paths = spark.createDataFrame([("d/images/train/images_1.jpg",), ("d\\images\\a.b.png",)], "p string")
+    assert [r[0] for r in paths.select(scalars.label_path_inner(F.col("p"))).collect()] == ["d/labels/train/images_1.txt", "d/labels/a.b.txt"]
+    assert paths.select(scalars.label_path_anywhere(F.col("p"))).first()[0] == "d/labels/train/labels_1.txt"
+    times = spark.createDataFrame([(1, "2020:01:02 03:04:05"), (2, "2020-01-02"), (3, None)], "id int, t string")
+    assert [tuple(r) for r in scalars.time_errors(times, "id", "t").collect()] == [(2, "2020-01-02")]
+    scores = spark.createDataFrame([(k, k % 50) for k in range(100)] + [(900, None)], "id int, score int")
+    got = pairs.heads(scores, "score", [("top", None, None, 3), ("middle", 15, 29, 2)], "id").collect()
+    assert [(r["band"], r["rank"], r["id"]) for r in got] == [("top", 1, 49), ("top", 2, 99), ("top", 3, 48), ("middle", 1, 29), ("middle", 2, 79)]
+    few = spark.createDataFrame([("a", k) for k in range(4)] + [("b", 1), ("b", 2)], "k string, v int")
+    got = sorted((r["k"], r["v"]) for r in pairs.offset_pick(few, "k", 2, 1, F.col("v")).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_projected_containment():
+    shift = np.array([[1.0, 0, 60], [0, 1, 0], [0, 0, 1]])
+    assert geometry.projected_containment(shift, (50, 20), (100, 100)) == (pytest.approx(0.8), 10.0)
+    assert geometry.projected_containment(np.zeros((3, 3)) + np.eye(3) * [0, 0, 1], (50, 20), (100, 100))[0] == 0.0
+
+
+def test_npy_round_trip(spark):
+    df = spark.createDataFrame([(1, [1.5, 2.0]), (2, []), (3, None)], "id int, v array<double>")
+    got = readers.npy_values(writers.npy_bytes(df, "id", "v"), "id", "content").orderBy("id").collect()
+    assert [(r["id"], r["shape"], r["values"]) for r in got] == [(1, [2], [1.5, 2.0]), (2, [0], [])]
