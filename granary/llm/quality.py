@@ -58,9 +58,11 @@ def repeated_words(words: Column) -> Column:
 
     def count(ws: Column) -> Column:
         n = F.size(ws)
-        # Windows are sorted by hash; those with one hash stand together whatever their words, which then decide.
-        windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i")))
-        return F.when(n < 4, F.lit(0)).otherwise(let(F.sort_array(windows), found))
+        every = F.sequence(F.lit(0), n - 3)
+        hashes = F.transform(every, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
+        # Most texts repeat no window: hashes that all differ say so without a sort of words.
+        sort = lambda: F.sort_array(F.transform(every, lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("w"), i.alias("i"))))
+        return F.when(n < 4, F.lit(0)).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == n - 2, F.lit(0)).otherwise(let(sort(), found))))
 
     def found(s: Column) -> Column:
         last = F.size(s) - 1
