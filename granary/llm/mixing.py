@@ -30,7 +30,7 @@ from .common import attach, materialize, unit_draw
 MOST_SMALL = 1000
 BROADCAST_CELLS = 20_000
 ROUNDS = 60
-TOLERANCE = 1e-6
+TOLERANCE, ROUGH = 1e-6, 1e-3
 NONE = "(none)"
 
 Target = float | dict[str, float]
@@ -105,7 +105,7 @@ def rake(cells: DataFrame, mix: Mix) -> DataFrame:
         parts = parts.withColumn("_a", F.when(added("_free") > 0, F.greatest(F.col("goal") - added("_held"), F.lit(0.0)) / added("_free")).otherwise(0.0))
         return parts.withColumn("w", F.zip_with("_free", "_held", lambda x, h: F.col("_a") * x + h)).drop("_free", "_held", "_a")
 
-    def fit() -> None:
+    def fit(tolerance: float) -> None:
         for _ in range(ROUNDS):
             cell = fitted(factor["lang"], factor["topic"]).select(F.explode(F.arrays_zip("cells", "w")).alias("x")).select("x.cells.lang", "x.cells.topic", "x.cells.held", "x.w")
             sums = cell.groupBy("lang", "topic").agg(F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("w"))).alias("w"), F.sum(F.when(F.col("held"), F.col("w")).otherwise(0.0)).alias("h")).collect()
@@ -119,16 +119,21 @@ def rake(cells: DataFrame, mix: Mix) -> DataFrame:
                 moved = max([moved, *(abs(now[k] + held[k] - g) for k, g in goal[dim].items())])
                 factor[dim] = {k: v * scale[k] for k, v in factor[dim].items()}
                 free = {key: w * scale[key[at]] for key, w in free.items()}
-            if moved < TOLERANCE:
+            if moved < tolerance:
                 break
 
+    # Which cells are held shows in a rough fit already; the fine one comes when none is over any more.
+    tolerance = ROUGH
     for _ in range(ROUNDS):
-        fit()
-        over = lambda x, w: ~x["held"] & (w > full(x) * (1 + TOLERANCE))
+        fit(tolerance)
+        over = lambda x, w: ~x["held"] & (w > full(x) * (1 + 10 * tolerance))  # noqa: E731, B023
         held = F.zip_with("cells", "w", lambda x, w: F.struct(x["lang"].alias("lang"), x["topic"].alias("topic"), x["share"].alias("share"), (x["held"] | over(x, w)).alias("held")))
         seen = fitted(factor["lang"], factor["topic"])
         if seen.filter(F.exists(F.arrays_zip("cells", "w"), lambda y: over(y["cells"], y["w"]))).isEmpty():
-            break
+            if tolerance == TOLERANCE:
+                break
+            tolerance = TOLERANCE
+            continue
         by_source = materialize(seen.withColumn("cells", held).drop("w"), "mix-sources")
     final = fitted(factor["lang"], factor["topic"]).select(F.col("source").alias("_s"), F.explode(F.arrays_zip("cells", "w")).alias("x"))
     final = final.select("_s", F.col("x.cells.lang").alias("_l"), F.col("x.cells.topic").alias("_t"), F.col("x.w").alias("weight"), F.round(F.least(F.lit(1.0), F.col("x.w") / full(F.col("x.cells"))), 9).alias("probability"))

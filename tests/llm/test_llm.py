@@ -320,13 +320,13 @@ def test_raking_meets_marginals(spark):
     assert got == pytest.approx(w, abs=1e-6)
 
 
-def plain_bounded_raking(cells, goals, budget):
+def plain_bounded_raking(cells, goals, budget, rounds=3000):
     """Raking in which no weight goes over the cell's share of the sample: what is over is held there, the rest raked on."""
     whole = sum(cells.values())
     top = {k: v / whole / budget for k, v in cells.items()}
     held, w = set(), {k: v / whole for k, v in cells.items()}
     while True:
-        for _ in range(3000):
+        for _ in range(rounds):
             for d, goal in enumerate(goals):
                 for value, g in goal.items():
                     mine = [k for k in w if k[d] == value]
