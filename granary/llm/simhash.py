@@ -15,7 +15,7 @@ folder; nothing but counts and checksums reaches the driver.
 deduplicate: texts that share a share of their distinct shingles (five words and 0.8) differ in about a seventh of the
 bits, far beyond any ball over a whole fingerprint. Their fingerprints are longer and cut into tables; in each table a
 text emits its bits and all variants one bit away, so two meet where they differ in at most two bits of a table, as most
-such pairs do in one of the tables. What meets is verified by 256 bits, which makes candidate groups, and within a group
+such pairs do in one of the tables. What meets is verified by 128 bits, which makes candidate groups, and within a group
 by the shingles themselves. See find_leaders.
 
 Null and empty texts, and texts without a word, have fingerprint zero and are linked like others. Rows with a null id
@@ -46,8 +46,10 @@ _HASHES_AT_ONCE = 1 << 15
 #: A table has at least LEAST_BITS bits, and SPARE_BITS more than number the texts, so that chance meetings stay as rare
 #: at any size; tables are added until a pair at the least similarity is missed with at most the chance MISS.
 LEAST_BITS, SPARE_BITS, MISS = 24, 6, 0.04
-#: Of the 256 bits that verify a meeting texts at a similarity of 0.8 differ in 39 on average, unrelated ones in 128.
-VERIFY_BITS = 60
+#: Of the 128 bits that verify a meeting texts at a similarity of 0.8 differ in 19 on average, unrelated ones in 64.
+VERIFY_BITS = 32
+#: Texts in candidate groups up to which their keys are broadcast, to pick their rows without a shuffle of all texts.
+BROADCAST_ROWS = 1_000_000
 #: Rows of a candidate group that one task compares, and leaders that a round takes from a larger group, at first.
 GROUP_ROWS, ROUND_LEADERS = 512, 64
 
@@ -187,10 +189,10 @@ def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bits: int, tables: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, sig, f0..f3, keys) of every row: mark and sig are digests of the text and of its set of shingles, f the
-    256 bits that verify, keys the bits of each table under the table's number."""
+    """(id, mark, sig, f0, f1, keys) of every row: mark and sig are digests of the text and of its set of shingles, f the
+    128 bits that verify, keys the bits of each table under the table's number."""
     ship(docs.sparkSession)
-    words = max(4, -(-bits * tables // 64))
+    words = max(2, -(-bits * tables // 64))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +204,16 @@ def signatures(docs: DataFrame, shingle: int, bits: int, tables: int, id_col: st
                 hashes = shingle_set(text or b"", shingle)
                 print_ = long_fingerprint(hashes, words)
                 sigs.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                longs.append(print_[:4])
+                longs.append(print_[:2])
                 bit = np.unpackbits(print_.view(np.uint8), bitorder="little")[: bits * tables].reshape(tables, bits)
                 keys.append(bit @ powers + (np.arange(tables) << bits))
-            four = np.stack(longs)
+            both = np.stack(longs)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, pa.int32()), pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), *(pa.array(four[:, k]) for k in range(4)), flat], names=["id", "mark", "sig", "f0", "f1", "f2", "f3", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sigs, pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1]), flat], names=["id", "mark", "sig", "f0", "f1", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(compute, f"id {kind}, mark long, sig binary, f0 long, f1 long, f2 long, f3 long, keys array<long>")
+    return rows.mapInArrow(compute, f"id {kind}, mark long, sig binary, f0 long, f1 long, keys array<long>")
 
 
 def _mark(text_col: str) -> Column:
@@ -219,18 +221,18 @@ def _mark(text_col: str) -> Column:
 
 
 def candidate_links(vertices: DataFrame, bits: int) -> DataFrame:
-    """(a, b): texts that meet in a table and differ in at most VERIFY_BITS of the 256 bits.
+    """(a, b): texts that meet in a table and differ in at most VERIFY_BITS of the 128 bits.
 
     Every member of a bucket is held against the bucket's first one and, where they differ, against the three before it.
     So a bucket gives no more links than thrice its members. They make groups of candidates, in which all that is asked
     later is asked of the shingles.
     """
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
-    points = vertices.select("node", "f0", "f1", "f2", "f3", F.explode("keys").alias("key"))
-    points = points.select("node", "f0", "f1", "f2", "f3", "key", F.explode(flips).alias("flip")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("point"), F.struct("node", "f0", "f1", "f2", "f3").alias("v"))
+    points = vertices.select("node", "f0", "f1", F.explode("keys").alias("key"))
+    points = points.select("node", "f0", "f1", "key", F.explode(flips).alias("flip")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("point"), F.struct("node", "f0", "f1").alias("v"))
     order = Window.partitionBy("point").orderBy("v.node")
     seen = points.select("v", F.first("v").over(order).alias("head"), *[F.lag("v", k).over(order).alias(f"v{k}") for k in (1, 2, 3)]).filter("v1 IS NOT NULL")
-    apart = lambda o: sum((F.bit_count(F.col("v")[f].bitwiseXOR(o[f])) for f in ("f0", "f1", "f2", "f3")), F.lit(0)) <= VERIFY_BITS
+    apart = lambda o: sum((F.bit_count(F.col("v")[f].bitwiseXOR(o[f])) for f in ("f0", "f1")), F.lit(0)) <= VERIFY_BITS
     near = F.filter(F.array("v1", "v2", "v3"), lambda o: o.isNotNull() & apart(o))
     met = F.when(apart(F.col("head")), F.array("head")).otherwise(near)
     return seen.select(F.col("v.node").alias("b"), F.explode(met).alias("o")).select(F.col("o.node").alias("a"), "b").distinct()
@@ -289,6 +291,10 @@ def find_leaders(docs: DataFrame, vertices: DataFrame, bits: int, shingle: int,
     """
     groups = connected_components(candidate_links(vertices, bits))
     members = vertices.join(groups, F.col("node") == F.col("item")).select(F.col("component").alias("grp"), "node", "first.*")
+    members = materialize(members, "members")
+    if members.count() <= BROADCAST_ROWS:
+        # A table's size is known once it is written, but joins are planned by a threshold of the session's.
+        docs = docs.join(F.broadcast(members.select(F.col("mark").alias("_wanted")).distinct()), _mark(text_col) == F.col("_wanted"), "left_semi")
     base = materialize(_rows_once(docs, members, F.col(text_col), id_col, text_col).drop("copies"), "candidates")
     schema, tables, pending, leaders = "grp long, node long, leader long", [], base, ROUND_LEADERS
     while not pending.isEmpty():
@@ -318,7 +324,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     """
     known = docs.filter(F.col(id_col).isNotNull())
     bits, tables = tables_for(known.count(), least)
-    own = ["f0", "f1", "f2", "f3", "keys"]
+    own = ["f0", "f1", "keys"]
     rows = signatures(known, shingle, bits, tables, id_col, text_col).groupBy("id", "mark", "sig", *own).agg(F.count("*").alias("copies"))
     rows = materialize(rows, "signatures")
     vertices = rows.groupBy("sig", *own).agg(F.min(F.struct("id", "mark", "copies")).alias("first"))
