@@ -102,3 +102,45 @@ def test_searches_run_all_rounds(spark, monkeypatch, name):
     monkeypatch.setattr(split_plans.ops, "search_groups", seen)
     catalog.QUERIES[name](spark, FOLDER)
     assert asked and set(asked) == {20_000}
+
+
+def test_rules_tie_as_a_plain_union_does(spark):
+    edges = [tuple(r) for r in catalog.QUERIES["edges_by_rule"](spark, FOLDER).select("rule", "a", "b").collect()]
+    ids = [r[0] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id").collect()]
+    got = {r["rules"]: (r["components"], r["largest"]) for r in catalog.QUERIES["ablation_by_rule"](spark, FOLDER).collect()}
+    for rules in ("a", "a+b", "a+b+c"):
+        root = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for rule, a, b in edges:
+            if rule in rules:
+                root[find(a)] = find(b)
+        sizes = {}
+        for i in ids:
+            sizes[find(i)] = sizes.get(find(i), 0) + 1
+        assert got[rules] == (len(sizes), max(sizes.values()))
+
+
+def test_hulls_by_wrapping(spark):
+    """Each hull again by walking from corner to corner, every other point on one side."""
+    got = {r["vec_id"]: r["coverage"] for r in catalog.QUERIES["hull_coverage"](spark, FOLDER).collect()}
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet").limit(40).collect()
+    for r in rows:
+        points = [(100.0 * x, 100.0 * y) for x, y in zip(r["embedding"][::2], r["embedding"][1::2], strict=True)]
+        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        at = start = min(points)
+        hull = []
+        while not hull or at != start:
+            hull.append(at)
+            best = next(p for p in points if p != at)
+            for p in points:
+                if p != at and turn(at, best, p) < 0:
+                    best = p
+            at = best
+        area = abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1], strict=True))) / 2
+        assert got[r["vec_id"]] == pytest.approx(min(area / 40_000, 1.0))
+    assert len(rows) == 40
