@@ -9,6 +9,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,10 +63,9 @@ def _near_blocked(known: DataFrame, most: int, n: int, block: int) -> DataFrame:
                         if k:
                             np.minimum(least, np.bitwise_count(part[:, k, None] ^ two[None, :, 0]), out=least)
                     i, j = np.nonzero(least <= most)
-                    if same:
-                        keep = i + at < j
-                        i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([ix.take(pa.array(i + at)), iy.take(pa.array(j)), pa.array(least[i, j].astype(np.int32))], names=["x", "y", "dist"])
+                    found = pa.RecordBatch.from_arrays([ix.take(pa.array(i + at)), iy.take(pa.array(j)), pa.array(least[i, j].astype(np.int32))], names=["x", "y", "dist"])
+                    # The two lists of a block are collected apart, each in an order of its own: only items tell its halves.
+                    yield found.filter(pc.less(found.column("x"), found.column("y"))) if same else found
 
     kind = known.schema["item"].dataType.simpleString()
     met = _blocks(known, ["h"], n, block).mapInArrow(compare, f"x {kind}, y {kind}, dist int")

@@ -30,6 +30,24 @@ def test_dihedral_pairs_across_blocks(spark):
     assert pairs.dihedral_pairs(df.limit(0), "id", "h", 24).count() == 0
 
 
+@pytest.mark.parametrize("block", [9, 900])
+def test_hamming_pairs_whatever_order_blocks_arrive_in(spark, monkeypatch, block):
+    """A block is collected twice, once a side, and the lists may come in two orders: no pair is lost or doubled."""
+    made, turned = pairs._blocks, lambda df: df.withColumns({c: F.reverse(c) for c in ("item_y", "h_y")})
+    monkeypatch.setattr(pairs, "_blocks", lambda *args: turned(made(*args)))
+    rng = random.Random(5)
+    codes = [rng.getrandbits(63) - (1 << 62) for _ in range(60)]
+    df = spark.createDataFrame([(7 * k % 61, c) for k, c in enumerate(codes)], "id bigint, code bigint")
+    names = [7 * k % 61 for k in range(60)]
+    far = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    near = [(*sorted((names[i], names[j])), far(codes[i], codes[j])) for i in range(60) for j in range(i) if far(codes[i], codes[j]) <= 26]
+    assert len(near) > 50 and sorted(map(tuple, pairs.hamming_pairs(df, "id", "code", 26, block=block).collect())) == sorted(near)
+    variants = df.select("id", F.array("code", F.col("code").bitwiseXOR(F.lit(255).cast("bigint"))).alias("h"))
+    both = {(a, b) for a, b, _ in near} | {tuple(sorted((names[i], names[j]))) for i in range(60) for j in range(i) if far(codes[i], codes[j] ^ 255) <= 26}
+    got = [(r["a"], r["b"]) for r in pairs.dihedral_pairs(variants, "id", "h", 26, block=block).collect()]
+    assert len(got) == len(both) and set(got) == both
+
+
 def test_parents_among_all_others(spark):
     rng = random.Random(6)
     rows = [(k, rng.choice("abcdefgh"), rng.randint(1, 60)) for k in range(300)] + [(300, None, 5), (310, "a", None)]
