@@ -6,16 +6,24 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import iou
+from ..functions.ranking import running
 from ..functions.scalars import draw
-from ..functions.storage import ship, stored
+from ..functions.storage import discard, ship, stored
 
 #: The ten overlaps of the averaged metric.
 OVERLAPS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+#: Clusters whose draws are made together, and rows that are weighed together: what a core's cache holds.
+DRAWN_AT_ONCE, WEIGHED_AT_ONCE = 1 << 16, 1 << 16
+#: Rows of a file that tasks read whole, replicates that a task takes at most, and bytes of weights that it holds at most.
+FILE_ROWS, TASK_REPLICATES, TASK_BYTES = 1 << 20, 16, 1 << 28
 
 
 def candidates(det: DataFrame, gt: DataFrame, least: float, same_class: bool = True) -> DataFrame:
@@ -368,6 +376,112 @@ def bootstrap_ap(scored: DataFrame, gt: DataFrame, cluster: str, weights: DataFr
     return n_gt.join(area, ["cls", "replicate"], "left").select(F.col("replicate").cast("bigint").alias("replicate"), "cls", ap.alias("ap"))
 
 
+def _drawn(n: int, replicate: int, seed: int) -> Iterator[np.ndarray]:
+    """How often each of n places is drawn when n are drawn with replacement, DRAWN_AT_ONCE places at a time."""
+    rng = np.random.default_rng([seed, replicate])
+    sizes = np.diff(np.append(np.arange(0, n, DRAWN_AT_ONCE), n))
+    for m, k in zip(sizes, rng.multinomial(n, sizes / n), strict=True):
+        yield np.frombuffer(as_bytes(np.bincount(rng.integers(0, m, k, dtype=np.int32), minlength=m)), np.uint8)
+
+
+def place_weights(n: int, replicates: Sequence[int], seed: int) -> np.ndarray:
+    """A row a place with its weight in each of the replicates, a byte each; the same in any task."""
+    out, at = np.empty((n, len(replicates)), np.uint8), 0
+    for parts in zip(*(_drawn(n, r, seed) for r in replicates), strict=True):
+        out[at : at + len(parts[0])] = np.stack(parts, axis=1)
+        at += len(parts[0])
+    return out
+
+
+def _runs(files: Sequence[str], backwards: bool = False) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
+    """(class, places, flags) of runs of rows of one class along the files, each of at most WEIGHED_AT_ONCE rows."""
+    step = -1 if backwards else 1
+    for uri in files[::step]:
+        store, path = fs.FileSystem.from_uri(uri)
+        with store.open_input_file(path) as f:
+            rows = pq.read_table(f, use_threads=False)
+        if not rows.num_rows:
+            continue
+        coded = rows["cls"].combine_chunks().dictionary_encode()
+        code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        places, flags = (rows[c].to_numpy() for c in ("place", "tp0"))
+        cuts = np.union1d(np.flatnonzero(np.diff(code)) + 1, np.arange(0, len(code), WEIGHED_AT_ONCE))
+        for low, high in list(zip(cuts, np.append(cuts[1:], len(code)), strict=True))[::step]:
+            if code[low] >= 0:
+                yield coded.dictionary[int(code[low])].as_py(), places[low:high].astype(np.intp), np.flatnonzero(flags[low:high])
+
+
+def replicated_ap(truths: Sequence[str], files: Sequence[str], weights: np.ndarray) -> dict[object, np.ndarray]:
+    """The ap of each class of the truths' files for each column of weights, which has a row a place.
+
+    files hold detections along falling confidence within classes. They are read twice: for the sums of whole classes,
+    and then from the end, where the sums up to a row are those of its class less what is behind it.
+    """
+    n = weights.shape[1]
+    # A place's weights are one piece of memory, so a row costs one access whatever the replicates.
+    sums = lambda at: np.take(weights, at, axis=0).sum(axis=0, dtype=np.int64)
+    n_gt, whole, hits, area, best = {}, {}, {}, {}, {}
+    for cls, places, _ in _runs(truths):
+        n_gt[cls] = n_gt.get(cls, 0) + sums(places)
+    for cls, places, ends in _runs(files):
+        whole[cls], hits[cls] = whole.get(cls, 0) + sums(places), hits.get(cls, 0) + sums(places[ends])
+    for cls, places, ends in _runs(files, backwards=True):
+        own, top = area.setdefault(cls, np.zeros(n)), best.setdefault(cls, np.zeros(n))
+        for k, w in enumerate(np.ascontiguousarray(np.take(weights, places, axis=0).T)):
+            # Bytes of at most WEIGHED_AT_ONCE rows add up to far less than 2^31.
+            upto = np.cumsum(w, dtype=np.int32)
+            whole[cls][k] -= upto[-1]
+            if len(ends):
+                gain = w[ends].astype(np.float64)
+                found = np.cumsum(gain)
+                hits[cls][k] -= int(found[-1])
+                every = upto[ends] + whole[cls][k]
+                precision = np.divide(found + hits[cls][k], every, out=np.zeros(len(ends)), where=every > 0)
+                envelope = np.maximum(np.maximum.accumulate(precision[::-1])[::-1], top[k])
+                own[k] += float(envelope @ gain)
+                top[k] = envelope[0]
+    return {cls: np.divide(area.get(cls, np.zeros(n)), m, out=np.zeros(n), where=m > 0) for cls, m in n_gt.items()}
+
+
+def bootstrap_ap_drawn(scored: DataFrame, gt: DataFrame, cluster: str, replicates: int, seed: int = 42, file_rows: int | None = None, task_replicates: int | None = None) -> DataFrame:
+    """(replicate, cls, ap) with as many clusters as gt has drawn anew for each replicate, with replacement.
+
+    For many clusters: no weight is stored or shuffled. Clusters get places in their order, detections are stored along
+    falling confidence with their cluster's place, and a task makes the weights of some replicates, a byte a place, and
+    reads all rows for them. More clusters than TASK_BYTES take bootstrap_ap, whose tasks hold blocks of the clusters.
+    """
+    spark = scored.sparkSession
+    ship(spark)
+    known = gt.select(F.col(cluster).alias("cluster")).filter("cluster IS NOT NULL").distinct()
+    places = stored(running(known, "cluster").select("cluster", (F.col("upto") - 1).cast("int").alias("place")), "places")
+    n = places.count()
+    if n > TASK_BYTES:
+        return bootstrap_ap(scored, gt, cluster, resampled_weights(gt, cluster, replicates, seed), replicates)
+    # Sizes of what is joined can be estimated too low: the hint forbids a broadcast.
+    placed = lambda d, *columns: d.select(*columns, F.col(cluster).alias("cluster")).join(places.hint("merge"), "cluster").drop("cluster")
+    truths = stored(placed(gt, "cls", F.lit(0).cast("byte").alias("tp0")).sortWithinPartitions("cls", "place"), "truths")
+    rows = stored(placed(scored, "cls", "det", "conf", F.col("tp0").cast("byte").alias("tp0")), "placed")
+    parts = max(1, -(-rows.count() // (file_rows or FILE_ROWS)))
+    order = ["cls", F.desc("conf"), F.col("det")]
+    dealt = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("cls", "place", "tp0"), "by-confidence")
+    discard(rows, places)
+    # Files are named by the number of their partition.
+    named = lambda d: sorted(d.inputFiles(), key=lambda f: f.rsplit("/", 1)[-1])
+    truth_files, files = named(truths), named(dealt)
+    each = max(1, min(task_replicates or TASK_REPLICATES, TASK_BYTES // max(n, 1)))
+    kind = gt.schema["cls"].dataType
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                mine = range(first, min(first + each, replicates))
+                for cls, ap in replicated_ap(truth_files, files, place_weights(n, mine, seed)).items():
+                    yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([cls] * len(mine)), pa.array(ap)], names=["replicate", "cls", "ap"])
+
+    firsts = spark.range(0, replicates, each, max(1, -(-replicates // each)))
+    return firsts.mapInArrow(compute, f"replicate long, cls {kind.simpleString()}, ap double")
+
+
 def interval(replicated: DataFrame, level: float = 0.95) -> DataFrame:
     """(cls, low, high, zero_share): percentile interval and the share of replicates at zero."""
     tail = (1 - level) / 2

@@ -191,23 +191,24 @@ ap AS (SELECT e.replicate, e.cls, coalesce(sum(x.envelope * x.tp * x.weight) / n
 SELECT cls, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.975), 6) AS high, avg((ap = 0)::int) AS zero_share FROM ap GROUP BY 1"""
 
 
-def bootstrap(spark, sf_dir, cluster, weights):
+def bootstrap(spark, sf_dir, cluster, replicated):
     det, gt = sides(spark, sf_dir)
     gt = gt.withColumn("cluster", cluster)
     scored = ops.outcomes(det, gt, [0.5]).withColumn("cluster", cluster)
-    out = ops.interval(ops.bootstrap_ap(scored, gt, "cluster", weights(gt), REPLICATES))
+    out = ops.interval(replicated(scored, gt))
     return out.select("cls", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "zero_share")
 
 
 @query(bootstrap_sql("image % 20"))
 def bootstrap_ci_cluster(spark, sf_dir):
-    return bootstrap(spark, sf_dir, F.col("image") % 20, lambda gt: ops.weights_of_draws(ops.replicate_weights(gt, "cluster", REPLICATES), "cluster", REPLICATES))
+    weights = lambda gt: ops.weights_of_draws(ops.replicate_weights(gt, "cluster", REPLICATES), "cluster", REPLICATES)
+    return bootstrap(spark, sf_dir, F.col("image") % 20, lambda scored, gt: ops.bootstrap_ap(scored, gt, "cluster", weights(gt), REPLICATES))
 
 
 @query()
 def bootstrap_ci_item(spark, sf_dir):
     """Each image is a cluster. Its draws come from seeded generators, which SQL has not; brute force is in the tests."""
-    return bootstrap(spark, sf_dir, F.col("image"), lambda gt: ops.resampled_weights(gt, "cluster", REPLICATES))
+    return bootstrap(spark, sf_dir, F.col("image"), lambda scored, gt: ops.bootstrap_ap_drawn(scored, gt, "cluster", REPLICATES))
 
 
 @query(f"""WITH {fx.BOXES}, {fx.matched_sql(HALF)} SELECT d.det, d.conf, round((x2 - x1) * (y2 - y1), 6) AS pixels, round(least(x1, y1, 640 - x2, 640 - y2), 6) AS edge FROM det d WHERE d.det NOT IN (SELECT det FROM matched) ORDER BY d.conf DESC, d.det LIMIT 12""")

@@ -93,6 +93,41 @@ def test_intervals_over_images(spark):
     assert len(got) == 18 and plans.REPLICATES == 2000
 
 
+def test_intervals_over_images_store_no_weights(spark, monkeypatch):
+    """The registered form again row by row; neither weights nor blocks of them are made as tables."""
+    asked = []
+    drawn = plans.ops.bootstrap_ap_drawn
+    monkeypatch.setattr(plans.ops, "bootstrap_ap_drawn", lambda scored, gt, cluster, replicates: asked.append(replicates) or drawn(scored, gt, cluster, 4))
+    for name in ("resampled_weights", "bootstrap_ap"):
+        monkeypatch.setattr(plans.ops, name, lambda *args: pytest.fail("weights are stored"))
+    assert catalog.QUERIES["bootstrap_ci_item"](spark, FOLDER).count() == 3 and asked == [2000]
+
+    monkeypatch.setattr(plans.ops, "WEIGHED_AT_ONCE", 100)
+    det, gt = plans.sides(spark, FOLDER)
+    # Images without a true box draw nothing; a class without a detection has no precision.
+    extra = det.limit(40).withColumns({"image": F.lit(-5).cast("bigint"), "conf": F.lit(2.0)})
+    gt = gt.unionByName(gt.limit(3).withColumn("cls", F.lit("none"))).withColumn("cluster", F.col("image"))
+    scored = plans.ops.outcomes(det.unionByName(extra), gt, [0.5]).withColumn("cluster", F.col("image"))
+    got = {(r["replicate"], r["cls"]): r["ap"] for r in drawn(scored, gt, "cluster", 7, file_rows=500, task_replicates=3).collect()}
+    images = sorted({r["image"] for r in gt.select("image").collect()})
+    rows, boxes = scored.select("cls", "conf", "det", "tp0", "image").collect(), gt.select("cls", "image").collect()
+    assert len(got) == 7 * 4 and len({got[r, "A"] for r in range(7)}) > 1
+    for r in range(7):
+        w = dict(zip(images, plans.ops.place_weights(len(images), [r], 42)[:, 0].tolist(), strict=True))
+        assert sum(w.values()) == len(images)
+        for cls in ("A", "N", "R", "none"):
+            tp = n = best = area = 0
+            curve = []
+            for x in sorted((x for x in rows if x["cls"] == cls and w.get(x["image"])), key=lambda x: (-x["conf"], x["det"])):
+                tp, n = tp + w[x["image"]] * x["tp0"], n + w[x["image"]]
+                curve.append((tp / n, w[x["image"]] * x["tp0"]))
+            for p, k in reversed(curve):
+                best = max(best, p)
+                area += best * k
+            whole = sum(w[b["image"]] for b in boxes if b["cls"] == cls)
+            assert got[r, cls] == pytest.approx(area / whole if whole else 0)
+
+
 def test_ranks_cross_ranges(spark):
     rng = random.Random(9)
     values = [rng.randint(0, 40) for _ in range(500)] + [None] * 7
