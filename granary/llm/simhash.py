@@ -13,10 +13,9 @@ Equal fingerprints are one vertex, whatever ids carry it. Components come from s
 folder; nothing but counts and checksums reaches the driver.
 
 deduplicate: texts that share a share of their distinct shingles (five words and 0.8) differ in about a seventh of the
-bits, far beyond any ball over a whole fingerprint. Their fingerprints are longer and cut into tables; in each table a
-text emits its bits and all variants one bit away, so two meet where they differ in at most two bits of a table, as most
-such pairs do in one of the tables. What meets is verified by 128 bits, which makes candidate groups, and within a group
-by the shingles themselves. See find_leaders.
+bits, far beyond any ball over a whole fingerprint. Their fingerprints are longer and cut into tables; in each table two
+texts meet that have the same bits there. All that meet are held against each other by 128 bits, whatever their number,
+which makes candidate groups, and within a group by the shingles themselves. See candidate_links and find_leaders.
 
 Null and empty texts, and texts without a word, have fingerprint zero and are linked like others. Rows with a null id
 get their class's component_id, which is null if no row of the class has an id; deduplicate keeps them all. Repeated
@@ -43,9 +42,12 @@ RADIUS = 3
 CROWD = 128
 _HASHES_AT_ONCE = 1 << 15
 
-#: A table has at least LEAST_BITS bits, and SPARE_BITS more than number the texts, so that chance meetings stay as rare
-#: at any size; tables are added until a pair at the least similarity is missed with at most the chance MISS.
-LEAST_BITS, SPARE_BITS, MISS = 24, 6, 0.04
+#: A table has at least LEAST_BITS bits, and so many that 2^BUCKET_BITS texts at most share a bucket on average; tables
+#: are added until a pair at the least similarity meets in none with at most the chance MISS.
+LEAST_BITS, BUCKET_BITS, MISS = 8, 10, 0.01
+#: Texts of a bucket that one task holds against each other; a larger bucket is dealt to blocks of half as many, and every
+#: two blocks are one cell.
+CELL_ROWS = 4096
 #: Of the 128 bits that verify a meeting texts at a similarity of 0.8 differ in 19 on average, unrelated ones in 64.
 VERIFY_BITS = 32
 #: Texts in candidate groups up to which their keys are broadcast, to pick their rows without a shuffle of all texts.
@@ -157,9 +159,8 @@ def differing_share(similarity: float) -> float:
 
 def tables_for(rows: int, similarity: float) -> tuple[int, int]:
     """(bits, tables): the bits grow with the logarithm of the rows, and the tables as that makes a meeting rarer."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 2))) + SPARE_BITS)
-    p = differing_share(similarity)
-    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 2))) - BUCKET_BITS)
+    meet = (1 - differing_share(similarity)) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
@@ -220,22 +221,51 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def candidate_links(vertices: DataFrame, bits: int) -> DataFrame:
-    """(a, b): texts that meet in a table and differ in at most VERIFY_BITS of the 128 bits.
-
-    Every member of a bucket is held against the bucket's first one and, where they differ, against the three before it.
-    So a bucket gives no more links than thrice its members. They make groups of candidates, in which all that is asked
-    later is asked of the shingles.
+def near_labels(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    """For each row the least row that it is tied to by rows that differ in at most VERIFY_BITS of the 128 bits."""
+    n = len(f0)
+    pairs = []
+    for at in range(0, n, 256):
+        apart = np.bitwise_count(f0[at : at + 256, None] ^ f0[None, at:]) + np.bitwise_count(f1[at : at + 256, None] ^ f1[None, at:])
+        i, j = np.nonzero(apart <= VERIFY_BITS)
+        later = i < j
+        pairs.append((i[later] + at, j[later] + at))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    labels = np.arange(n)
+    while True:
+        before = labels.copy()
+        np.minimum.at(labels, j, labels[i])
+        np.minimum.at(labels, i, labels[j])
+        if np.array_equal(before, labels):
+            return labels
+
+
+def candidate_links(vertices: DataFrame) -> DataFrame:
+    """(a, b): enough links to connect all texts that meet in a table and differ in at most VERIFY_BITS of the 128 bits.
+
+    Every two members of a bucket are compared in a cell. A cell gives a link a member at most, to the least that it is
+    tied to, so no square of a group's size leaves a task.
     """
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(bits)])
     points = vertices.select("node", "f0", "f1", F.explode("keys").alias("key"))
-    points = points.select("node", "f0", "f1", "key", F.explode(flips).alias("flip")).select(F.col("key").bitwiseXOR(F.col("flip")).alias("point"), F.struct("node", "f0", "f1").alias("v"))
-    order = Window.partitionBy("point").orderBy("v.node")
-    seen = points.select("v", F.first("v").over(order).alias("head"), *[F.lag("v", k).over(order).alias(f"v{k}") for k in (1, 2, 3)]).filter("v1 IS NOT NULL")
-    apart = lambda o: sum((F.bit_count(F.col("v")[f].bitwiseXOR(o[f])) for f in ("f0", "f1")), F.lit(0)) <= VERIFY_BITS
-    near = F.filter(F.array("v1", "v2", "v3"), lambda o: o.isNotNull() & apart(o))
-    met = F.when(apart(F.col("head")), F.array("head")).otherwise(near)
-    return seen.select(F.col("v.node").alias("b"), F.explode(met).alias("o")).select(F.col("o.node").alias("a"), "b").distinct()
+    large = points.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_ROWS)
+    large = large.select(F.col("key").alias("_large"), F.ceil(F.col("n") / (CELL_ROWS // 2)).cast("int").alias("blocks"))
+    sized = points.join(F.broadcast(large), F.col("key") == F.col("_large"), "left")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != own)
+    cells = F.transform(others, lambda x: F.struct(F.least(x, own).alias("q"), F.greatest(x, own).alias("c")))
+    whole = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("c")))
+    placed = sized.select("node", "f0", "f1", "key", F.explode(F.when(F.col("blocks").isNull(), whole).otherwise(cells)).alias("cell"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node = rows["node"].to_numpy()
+        order = np.argsort(node)
+        node, f0, f1 = node[order], *(rows[c].to_numpy()[order].view(np.uint64) for c in ("f0", "f1"))
+        labels = near_labels(f0, f1)
+        tied = np.flatnonzero(labels < np.arange(len(labels)))
+        return pa.table({"a": node[labels[tied]], "b": node[tied]})
+
+    ship(vertices.sparkSession)
+    return placed.groupBy("key", "cell").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _settle(shingle: int, least: float):  # noqa: ANN202
@@ -281,7 +311,7 @@ def _rows_once(docs: DataFrame, wanted: DataFrame, row: Column, id_col: str, tex
     return met.filter("copies = 1").unionByName(again)
 
 
-def find_leaders(docs: DataFrame, vertices: DataFrame, bits: int, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
+def find_leaders(docs: DataFrame, vertices: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame:
     """(node, leader) of the texts that follow another one: leader is a text that follows none, comes before it, and has
     at least the share of shingles in common with it.
 
@@ -289,7 +319,7 @@ def find_leaders(docs: DataFrame, vertices: DataFrame, bits: int, shingle: int,
     larger one every task holds a block and the group's first ROUND_LEADERS open texts; those that follow none of these
     are open in the next round, which takes twice as many leaders, until no text is open.
     """
-    groups = connected_components(candidate_links(vertices, bits))
+    groups = connected_components(candidate_links(vertices))
     members = vertices.join(groups, F.col("node") == F.col("item")).select(F.col("component").alias("grp"), "node", "first.*")
     members = materialize(members, "members")
     if members.count() <= BROADCAST_ROWS:
@@ -329,7 +359,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     rows = materialize(rows, "signatures")
     vertices = rows.groupBy("sig", *own).agg(F.min(F.struct("id", "mark", "copies")).alias("first"))
     vertices = materialize(vertices.withColumn("node", F.monotonically_increasing_id()), "texts")
-    following = find_leaders(known, vertices, bits, shingle, least, id_col, text_col).select(F.col("node").alias("_n"))
+    following = find_leaders(known, vertices, shingle, least, id_col, text_col).select(F.col("node").alias("_n"))
     stay = vertices.join(following, F.col("node") == F.col("_n"), "left_anti").select(F.col("first.id").alias("_id"), F.col("first.mark").alias("_of"), F.lit(True).alias("stays"))
     # Only what goes, and what stays once of several, is named; the rest passes. Rows travel as one struct, so no column
     # of theirs can clash with those of the join.

@@ -485,6 +485,25 @@ def test_near_copies_go(spark, monkeypatch, rows_a_task):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [4096, 20])
+def test_no_member_of_a_bucket_is_left_out(spark, monkeypatch, rows):
+    """Partners far from a bucket's first member and with more than three others between them still meet."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    rng = random.Random(3)
+    prints = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(30)]
+    prints += [(a ^ 0b1011 << 20, b ^ 1 << (k % 60)) for k, (a, b) in enumerate(prints[:25])]
+    prints += [(a ^ 0xFF << 7, b ^ 0xFF << 30) for a, b in prints[25:35]]
+    # One bucket of one table holds all, in the first form with the point and its variants.
+    df = spark.createDataFrame([(k, a, b, [7]) for k, (a, b) in enumerate(prints)], "node long, f0 long, f1 long, keys array<long>")
+    found = {r["item"]: r["component"] for r in graph.connected_components(simhash.candidate_links(df)).collect()}
+    root = list(range(len(prints)))
+    for j in range(len(prints)):
+        for i in range(j):
+            if sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)) <= simhash.VERIFY_BITS:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert len(set(root)) < len(prints) - 30 and [found.get(k, k) for k in range(len(prints))] == root
+
+
 # 8
 
 
