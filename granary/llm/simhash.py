@@ -50,8 +50,8 @@ LEAST_BITS, BUCKET_BITS, MISS = 8, 10, 0.01
 CELL_ROWS = 4096
 #: Of the 128 bits that verify a meeting texts at a similarity of 0.8 differ in 19 on average, unrelated ones in 64.
 VERIFY_BITS = 32
-#: Texts in candidate groups up to which their keys are broadcast, to pick their rows without a shuffle of all texts.
-BROADCAST_ROWS = 1_000_000
+#: A sieve has 2^SIEVE_SPARE bits or more for each wanted row, but 2^SIEVE_MOST at most (32 MB), in blocks of 2^10.
+SIEVE_SPARE, SIEVE_MOST = 7, 28
 #: Rows of a candidate group that one task compares, and leaders that a round takes from a larger group, at first.
 GROUP_ROWS, ROUND_LEADERS = 512, 64
 
@@ -302,11 +302,42 @@ def _settle(shingle: int, least: float):  # noqa: ANN202
     return run
 
 
+def _rows(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(row.alias("_row"), F.col(id_col).alias("_row_id"), _mark(text_col).alias("_row_mark"))
+
+
+def _named(wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """wanted (id, mark, ..) and when it names a row. Without the hint whether texts are shuffled would depend on a
+    threshold of the session's, and be settled after they are."""
+    return wanted.hint("merge"), (F.col("_row_id") == F.col("id")) & (F.col("_row_mark") == F.col("mark"))
+
+
+def _sieve(wanted: DataFrame) -> tuple[DataFrame, Column]:
+    """A bit map (block, words) over hashes of id and mark in wanted, and when it says that a row may be among them.
+
+    It is broadcast, so rows that are not wanted stay where they are: about one in 2^SIEVE_SPARE of them passes, and more
+    where the map has its most bits. What passes is still to be held against wanted.
+    """
+    bits = max(10, min(SIEVE_MOST, math.ceil(math.log2(max(wanted.count(), 1))) + SIEVE_SPARE))
+
+    def place(id_: str, mark: str) -> tuple[Column, Column, Column]:
+        slot = F.xxhash64(id_, mark).bitwiseAND(F.lit((1 << bits) - 1))
+        part = lambda shift, mask: F.shiftright(slot, shift).bitwiseAND(F.lit(mask)).cast("int")
+        return F.shiftright(slot, 10).cast("int"), part(6, 15), part(0, 63)
+
+    block, word, bit = place("id", "mark")
+    slots = wanted.select(block.alias("_block"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_word") == k, F.col("_bit"))), F.lit(0).cast("long")) for k in range(16)]
+    block, word, bit = place("_row_id", "_row_mark")
+    return slots.groupBy("_block").agg(F.array(*words).alias("_words")), (block == F.col("_block")) & (F.getbit(F.get("_words", word), bit) == 1)
+
+
 def _rows_once(docs: DataFrame, wanted: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
-    """(row, and the columns of wanted) of the rows of docs that wanted (id, mark, copies, ..) names by id and text; of
-    rows that repeat both there is one."""
-    rows = docs.select(row.alias("_row"), F.col(id_col).alias("_row_id"), _mark(text_col).alias("_row_mark"))
-    met = rows.join(wanted, (F.col("_row_id") == F.col("id")) & (F.col("_row_mark") == F.col("mark"))).drop("_row_id", "_row_mark")
+    """(row, and the columns of wanted) of the rows of docs that wanted (id, mark, copies, ..), a materialized table, names
+    by id and text; of rows that repeat both there is one."""
+    sieve, may = _sieve(wanted)
+    named, same = _named(wanted)
+    met = _rows(docs, row, id_col, text_col).join(F.broadcast(sieve), may, "left_semi").join(named, same).drop("_row_id", "_row_mark")
     again = met.filter("copies > 1").groupBy(*wanted.columns).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return met.filter("copies = 1").unionByName(again)
 
@@ -321,27 +352,30 @@ def find_leaders(docs: DataFrame, vertices: DataFrame, shingle: int, least: floa
     """
     groups = connected_components(candidate_links(vertices))
     members = vertices.join(groups, F.col("node") == F.col("item")).select(F.col("component").alias("grp"), "node", "first.*")
-    members = materialize(members, "members")
-    if members.count() <= BROADCAST_ROWS:
-        # A table's size is known once it is written, but joins are planned by a threshold of the session's.
-        docs = docs.join(F.broadcast(members.select(F.col("mark").alias("_wanted")).distinct()), _mark(text_col) == F.col("_wanted"), "left_semi")
-    base = materialize(_rows_once(docs, members, F.col(text_col), id_col, text_col).drop("copies"), "candidates")
-    schema, tables, pending, leaders = "grp long, node long, leader long", [], base, ROUND_LEADERS
+    pending = materialize(members, "members")
+    schema, tables, leaders, order = "grp long, node long, leader long", [], ROUND_LEADERS, ["id", "mark", "node"]
     while not pending.isEmpty():
-        sizes = pending.groupBy("grp").agg(F.count("*").alias("size"))
-        order = ["id", "mark", "node"]
-        blocks = F.greatest(F.ceil(F.col("size") / GROUP_ROWS), F.lit(1)).cast("int")
-        sized = pending.join(sizes, "grp").withColumns({"grows": F.col("size") <= GROUP_ROWS, "blocks": blocks})
-        first = pending.select("grp", *order).join(sizes.filter(F.col("size") > GROUP_ROWS), "grp")
-        first = first.withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("_r") <= leaders).select(F.col("node").alias("_first"))
-        marked = sized.join(first, F.col("node") == F.col("_first"), "left")
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        own = F.array(F.when(F.col("grows"), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
-        placed = marked.withColumn("role", F.col("_first").isNull().cast("int")).withColumn("block", F.explode(F.when(F.col("role") == 0, every).otherwise(own)))
-        dealt = placed.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", *order).select("grp", "block", "role", "grows", "node", F.col("_row").alias("_text"))
+        # Where a text goes is settled without it; then it is picked and dealt.
+        large = pending.groupBy("grp").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP_ROWS)
+        large = large.select(F.col("grp").alias("_large"), F.ceil(F.col("size") / GROUP_ROWS).cast("int").alias("_blocks"))
+        sized = pending.join(F.broadcast(large), F.col("grp") == F.col("_large"), "left")
+        first = sized.filter("_blocks IS NOT NULL").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("_r") <= leaders).select(F.col("node").alias("_first"))
+        grows, leads = F.col("_blocks").isNull(), F.col("_first").isNotNull()
+        every = F.sequence(F.lit(0), F.col("_blocks") - 1)
+        own = F.array(F.when(grows, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_blocks"))).cast("int"))
+        placed = sized.join(first, F.col("node") == F.col("_first"), "left").select(*pending.columns, (~leads).cast("int").alias("role"), grows.alias("grows"), F.when(leads, every).otherwise(own).alias("blocks"))
+        texts = _rows_once(docs, materialize(placed, "placed"), F.col(text_col), id_col, text_col).withColumn("block", F.explode("blocks"))
+        dealt = texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", *order).select("grp", "block", "role", "grows", "node", F.col("_row").alias("_text"))
         named = materialize(dealt.mapInArrow(_settle(shingle, least), schema), "leaders")
         tables.append(named.filter("leader IS NOT NULL AND leader <> node").select("node", "leader"))
-        pending = base.join(named.filter("leader IS NULL").select(F.col("node").alias("_open")), F.col("node") == F.col("_open"), "left_semi")
+        rest = pending.join(named.filter("leader IS NULL").select(F.col("node").alias("_open")), F.col("node") == F.col("_open"), "left_semi")
+        still = materialize(rest.withColumn("copies", F.lit(1).cast("long")) if len(tables) > 1 else rest, "open")
+        if len(tables) == 1 and not still.isEmpty():
+            # Few texts are left, which later rounds read from a table of their own, once each.
+            left = _rows_once(docs, still, F.col(text_col), id_col, text_col)
+            docs = materialize(left.select(F.col("id").alias(id_col), F.col("_row").alias(text_col)), "candidates")
+            still = still.withColumn("copies", F.lit(1).cast("long"))
+        pending = still
         leaders = min(2 * leaders, GROUP_ROWS)
     return reduce(DataFrame.unionByName, tables) if tables else docs.sparkSession.createDataFrame([], "node long, leader long")
 
@@ -367,6 +401,10 @@ def deduplicate(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: s
     named = materialize(named.select("id", "mark", "copies", "stays"), "named")
     discard(rows)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    passed = known.select(whole.alias("_row"), F.col(id_col).alias("_row_id"), _mark(text_col).alias("_row_mark")).join(named, (F.col("_row_id") == F.col("id")) & (F.col("_row_mark") == F.col("mark")), "left_anti").select("_row")
-    again = _rows_once(known, named.filter("stays").drop("stays"), whole, id_col, text_col).select("_row")
-    return passed.unionByName(again).select("_row.*").unionByName(docs.filter(F.col(id_col).isNull()))
+    every, (sieve, may), (gone, same) = _rows(known, whole, id_col, text_col), _sieve(named), _named(named)
+    passed = every.join(F.broadcast(sieve), may, "left_anti").select("_row")
+    passed = passed.unionByName(every.join(F.broadcast(sieve), may, "left_semi").join(gone, same, "left_anti").select("_row"))
+    repeated = named.filter("stays").drop("stays")
+    if not repeated.isEmpty():
+        passed = passed.unionByName(_rows_once(known, repeated, whole, id_col, text_col).select("_row"))
+    return passed.select("_row.*").unionByName(docs.filter(F.col(id_col).isNull()))

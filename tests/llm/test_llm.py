@@ -485,6 +485,38 @@ def test_near_copies_go(spark, monkeypatch, rows_a_task):
     assert simhash.deduplicate(empty(spark)).count() == 0
 
 
+def shuffled_bytes(spark):
+    """Bytes that tasks have written for shuffles since the session began."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+@pytest.mark.parametrize(("most", "leaders"), [(28, 64), (28, 4), (0, 64)])
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, tmp_path, most, leaders):
+    """Joins are not broadcast by size here, as with large tables. With most = 0 the sieve lets about all rows pass."""
+    monkeypatch.setattr(simhash, "SIEVE_MOST", most)
+    monkeypatch.setattr(simhash, "ROUND_LEADERS", leaders)
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 2 * leaders)
+    rng = random.Random(17)
+    rows = [(k, " ".join(f"{rng.getrandbits(40):x}" for _ in range(1000)), "en", "s", 1) for k in range(400)]
+    rows += [(1000 + k, t[:-20] + f" {k}" * (k % 3), "en", "s", 1) for k, (_, t, *_) in enumerate(rows[:12])]
+    rows += [(2000 + k, rows[50][1] + f" {k}", "en", "s", 1) for k in range(12)] + [rows[60], rows[61], rows[61], rows[3]]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "docs"))
+    docs, text_bytes = spark.read.parquet(str(tmp_path / "docs")), sum(len(r[1]) for r in rows)
+    threshold, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = [r["doc_id"] for r in simhash.deduplicate(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sorted(kept) == sorted(brute_leaders({r[0]: r[1] for r in rows}.items())) == list(range(400))
+    if most:
+        assert shuffled_bytes(spark) - before < text_bytes / 2
+
+
 @pytest.mark.parametrize("rows", [4096, 20])
 def test_no_member_of_a_bucket_is_left_out(spark, monkeypatch, rows):
     """Partners far from a bucket's first member and with more than three others between them still meet."""
