@@ -48,6 +48,8 @@ LEAST_BITS, BUCKET_BITS, MISS = 8, 10, 0.01
 #: Texts of a bucket that one task holds against each other; a larger bucket is dealt to blocks of half as many, and every
 #: two blocks are one cell.
 CELL_ROWS = 4096
+#: Pairs of a cell that a task holds before it folds them.
+PAIRS_AT_ONCE = 1 << 18
 #: Of the 128 bits that verify a meeting texts at a similarity of 0.8 differ in 19 on average, unrelated ones in 64.
 VERIFY_BITS = 32
 #: A sieve has 2^SIEVE_SPARE bits or more for each wanted row, but 2^SIEVE_MOST at most (32 MB), in blocks of 2^10.
@@ -224,20 +226,25 @@ def _mark(text_col: str) -> Column:
 def near_labels(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
     """For each row the least row that it is tied to by rows that differ in at most VERIFY_BITS of the 128 bits."""
     n = len(f0)
-    pairs = []
+    labels, pairs, held = np.arange(n), [], 0
     for at in range(0, n, 256):
         apart = np.bitwise_count(f0[at : at + 256, None] ^ f0[None, at:]) + np.bitwise_count(f1[at : at + 256, None] ^ f1[None, at:])
         i, j = np.nonzero(apart <= VERIFY_BITS)
         later = i < j
         pairs.append((i[later] + at, j[later] + at))
-    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    labels = np.arange(n)
-    while True:
-        before = labels.copy()
-        np.minimum.at(labels, j, labels[i])
-        np.minimum.at(labels, i, labels[j])
-        if np.array_equal(before, labels):
-            return labels
+        held += len(pairs[-1][0])
+        if held < PAIRS_AT_ONCE and at + 256 < n:
+            continue
+        # Where many are near each other, pairs so far fold into one a row.
+        i, j = (np.concatenate(x) for x in zip(*pairs, (labels, np.arange(n)), strict=True))
+        pairs, held = [], 0
+        while True:
+            before = labels.copy()
+            np.minimum.at(labels, j, labels[i])
+            np.minimum.at(labels, i, labels[j])
+            if np.array_equal(before, labels):
+                break
+    return labels
 
 
 def candidate_links(vertices: DataFrame) -> DataFrame:
@@ -364,17 +371,18 @@ def find_leaders(docs: DataFrame, vertices: DataFrame, shingle: int, least: floa
         every = F.sequence(F.lit(0), F.col("_blocks") - 1)
         own = F.array(F.when(grows, 0).otherwise(F.pmod(F.xxhash64("node"), F.col("_blocks"))).cast("int"))
         placed = sized.join(first, F.col("node") == F.col("_first"), "left").select(*pending.columns, (~leads).cast("int").alias("role"), grows.alias("grows"), F.when(leads, every).otherwise(own).alias("blocks"))
-        texts = _rows_once(docs, materialize(placed, "placed"), F.col(text_col), id_col, text_col).withColumn("block", F.explode("blocks"))
+        placed = materialize(placed, "placed")
+        texts = _rows_once(docs, placed, F.col(text_col), id_col, text_col).withColumn("block", F.explode("blocks"))
         dealt = texts.repartition("grp", "block").sortWithinPartitions("grp", "block", "role", *order).select("grp", "block", "role", "grows", "node", F.col("_row").alias("_text"))
         named = materialize(dealt.mapInArrow(_settle(shingle, least), schema), "leaders")
         tables.append(named.filter("leader IS NOT NULL AND leader <> node").select("node", "leader"))
         rest = pending.join(named.filter("leader IS NULL").select(F.col("node").alias("_open")), F.col("node") == F.col("_open"), "left_semi")
-        still = materialize(rest.withColumn("copies", F.lit(1).cast("long")) if len(tables) > 1 else rest, "open")
+        still = materialize(rest, "open")
+        discard(pending, placed)
         if len(tables) == 1 and not still.isEmpty():
-            # Few texts are left, which later rounds read from a table of their own, once each.
+            # Few texts are left, which later rounds read from a table of their own that has each once.
             left = _rows_once(docs, still, F.col(text_col), id_col, text_col)
             docs = materialize(left.select(F.col("id").alias(id_col), F.col("_row").alias(text_col)), "candidates")
-            still = still.withColumn("copies", F.lit(1).cast("long"))
         pending = still
         leaders = min(2 * leaders, GROUP_ROWS)
     return reduce(DataFrame.unionByName, tables) if tables else docs.sparkSession.createDataFrame([], "node long, leader long")

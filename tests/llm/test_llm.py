@@ -8,6 +8,7 @@ import io
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -517,6 +518,28 @@ def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, tmp_path, most, le
         assert shuffled_bytes(spark) - before < text_bytes / 2
 
 
+def test_a_cell_of_near_copies_is_bounded(monkeypatch):
+    rng, codes = np.random.default_rng(5), np.zeros((2, 4000), np.uint64)
+    tracemalloc.start()
+    assert not simhash.near_labels(*codes).any()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    # Folded at every strip or once, chains and groups have the same labels as by plain closure.
+    codes = rng.integers(0, 1 << 63, (2, 700)).astype(np.uint64)
+    for k in range(1, 700):
+        if k % 3:
+            codes[:, k] = codes[:, k - rng.integers(1, min(k, 300) + 1)] ^ (np.uint64(0xFFF) << rng.integers(0, 50, 2).astype(np.uint64))
+    near = sum(np.bitwise_count(c[:, None] ^ c[None]).astype(int) for c in codes) <= simhash.VERIFY_BITS
+    want = np.arange(700)
+    while not np.array_equal(want, least := np.where(near, want[None], 700).min(axis=1)):
+        want = least
+    assert 100 < len(set(want)) < 600
+    for most in (1, 1 << 18):
+        monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", most)
+        assert np.array_equal(simhash.near_labels(*codes), want)
+
+
 @pytest.mark.parametrize("rows", [4096, 20])
 def test_no_member_of_a_bucket_is_left_out(spark, monkeypatch, rows):
     """Partners far from a bucket's first member and with more than three others between them still meet."""
